@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, mixing, token_files
+from . import byte_bpe, language_id, mixing, quality, token_files, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,21 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = language_id.identify(docs, language_id.learn(docs.where(language_id.fold() != 1)))
+    return found.withColumn("held_out", language_id.fold() == 1)
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_archives(warc.write_archives(_table(spark, sf_dir, "pages")), payloads=False).drop("url")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = byte_bpe.encode_decode(
         _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_offsets=False
@@ -36,6 +51,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
         "op2_token_files": op2_token_files,
+        "op3_quality": op3_quality,
+        "op7_language_id": op7_language_id,
+        "op8_warc": op8_warc,
         "op10_byte_bpe": op10_byte_bpe,
     }
 
@@ -60,5 +78,19 @@ FROM r
 """
 
 
+_OP8_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+f AS (SELECT html, min(page_id) AS first FROM p GROUP BY html),
+b AS (SELECT page_id, strlen(p.html) AS payload_bytes, sha1(p.html) AS hex, first FROM p JOIN f ON p.html = f.html),
+x AS (SELECT page_id, i, list_sum([CAST(strpos('0123456789abcdef', hex[10 * i + j]) - 1 AS BIGINT) << (4 * (10 - j)) FOR j IN range(1, 11)])::BIGINT AS v
+      FROM b, range(4) AS r(i)),
+g AS (SELECT page_id, string_agg(array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> (35 - 5 * k)) & 31)::INT + 1, 1) FOR k IN range(8)], ''), '' ORDER BY i) AS payload_digest
+      FROM x GROUP BY page_id)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM b JOIN g USING (page_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": _OP1_SQL}
+    return {"op1_mixing": _OP1_SQL, "op8_warc": _OP8_SQL}
