@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language_id, mixing, quality, simhash, token_files, warc
+from . import byte_bpe, language_id, line_dedup, mixing, quality, simhash, token_files, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = line_dedup.line_report(_table(spark, sf_dir, "documents"))
+    return report.select("doc_id", "n_lines", "n_removed", F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = language_id.identify(docs, language_id.learn(docs.where(language_id.fold() != 1)))
@@ -56,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mixing": op1_mixing,
         "op2_token_files": op2_token_files,
         "op3_quality": op3_quality,
+        "op6_line_dedup": op6_line_dedup,
         "op7_language_id": op7_language_id,
         "op8_warc": op8_warc,
         "op9_simhash": op9_simhash,
@@ -97,5 +103,25 @@ FROM b JOIN g USING (page_id)
 """
 
 
+#: The order of the prefix is by count and word, not by hashed class: another order, the same join.
+_OP6_SQL = r"""
+WITH l AS (SELECT doc_id, i - 1 AS i, string_split(text, chr(10))[i] AS line FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS r(i)
+           WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+w AS (SELECT doc_id, i, list_sort(list_distinct(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> ''))) AS ws FROM l),
+s AS (SELECT ws, min((doc_id, i)) AS pos FROM w WHERE len(ws) > 0 GROUP BY ws),
+k AS (SELECT row_number() OVER (ORDER BY pos) AS id, ws, len(ws) AS n FROM s),
+t AS (SELECT id, n, unnest(ws) AS token FROM k),
+f AS (SELECT token, count(*) AS c FROM t GROUP BY token),
+o AS (SELECT id, n, t.token, row_number() OVER (PARTITION BY id ORDER BY c, t.token) AS j FROM t JOIN f ON t.token = f.token),
+p AS (SELECT id, n, token FROM o WHERE j <= n - CAST(ceil(n * 4 / 5) AS BIGINT) + 1),
+c AS (SELECT DISTINCT x.id AS x, y.id AS y FROM p x JOIN p y ON x.token = y.token AND y.id < x.id AND 5 * y.n >= 4 * x.n AND 5 * x.n >= 4 * y.n),
+g AS (SELECT DISTINCT x FROM c JOIN k a ON a.id = c.x JOIN k b ON b.id = c.y WHERE 9 * len(list_intersect(a.ws, b.ws)) >= 4 * (a.n + b.n)),
+m AS (SELECT w.doc_id, w.i FROM w JOIN s ON w.ws = s.ws JOIN k ON k.ws = s.ws WHERE (w.doc_id, w.i) > s.pos OR k.id IN (SELECT x FROM g)),
+r AS (SELECT doc_id, count(DISTINCT i) AS n_removed, array_to_string(list_sort(list(DISTINCT i)), ',') AS removed FROM m GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(string_split(coalesce(d.text, ''), chr(10))) AS INT) AS n_lines, CAST(coalesce(n_removed, 0) AS INT) AS n_removed, coalesce(removed, '') AS removed
+FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": _OP1_SQL, "op8_warc": _OP8_SQL}
+    return {"op1_mixing": _OP1_SQL, "op6_line_dedup": _OP6_SQL, "op8_warc": _OP8_SQL}
