@@ -14,9 +14,11 @@ from __future__ import annotations
 import base64
 import functools
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
+from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +27,10 @@ from ._common import map_arrow, utf8
 #: Inside a text, a match never holds a non-blank followed by a blank, and a lone space goes to what
 #: follows it: cutting there leaves every match whole. (Python's blanks include all of the pattern's.)
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Two matches of the pattern in a row: letters after a lone space or none, then marks or none.
+_PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
 #: Entries of a worker's memory of encoded pieces; beyond it the memory starts anew.
-_CACHE = 300_000
+_CACHE = 500_000
 
 
 def byte_alphabet() -> list[str]:
@@ -62,6 +66,21 @@ class ByteBpe:
             [pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
         )
         self.known: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
+        self.letters, self.plain = dict(enumerate(letters)), pattern == PATTERN
+
+    def _piece(self, piece: str) -> bytes | None:
+        """Ids of a piece of letters and marks by the model alone, without the splitter; None for others."""
+        if not self.plain or not (m := _PLAIN.fullmatch(piece)):
+            return None
+        shown = m[1]
+        if not shown.isascii():
+            shown = shown.encode().decode("latin-1").translate(self.letters)
+        elif shown[0] == " ":
+            shown = self.letters[32] + shown[1:]
+        if m[2] not in self.marks:
+            self.marks[m[2]] = np.array(self.tokenizer.encode(m[2], add_special_tokens=False).ids, "<i4").tobytes()
+        return array("i", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes() + self.marks[m[2]]
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text (int32)."""
@@ -72,7 +91,8 @@ class ByteBpe:
             if len(known) + len(new) > _CACHE:
                 known.clear()
                 new = set(pieces)
-            todo = list(new)
+            known.update((p, ids) for p in new if (ids := self._piece(p)) is not None)
+            todo = [p for p in new if p not in known]
             for p, e in zip(todo, self.tokenizer.encode_batch_fast(todo, add_special_tokens=False), strict=True):
                 known[p] = np.array(e.ids, "<i4").tobytes()
         return np.frombuffer(b"".join([known[p] for p in pieces]), "<i4")

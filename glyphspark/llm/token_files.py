@@ -22,7 +22,9 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import struct
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -31,11 +33,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import fresh_path, slices, stored, utf8
+from .byte_bpe import byte_alphabet
 
 _SKIP_INDEX, _SKIP_SEEK, _SEEKABLE = 0x184D2A5B, 0x184D2A5E, 0x8F92EAB1
 _INDEX = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("frame", "<u4"), ("at", "<u4"), ("n", "<u4")])
 #: Entries of a worker's memory of encoded words; beyond it the memory starts anew.
-_CACHE = 400_000
+_CACHE = 600_000
+#: Letters that lower-casing and NFC map one to one, then marks that split off as one piece.
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
 
 
 class WordEncoder:
@@ -48,6 +53,20 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if max(self.tokenizer.get_vocab().values()) < 65536 else "<u4")
         self.known: dict[bytes, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
+        self.letters = {i: c for i, c in enumerate(byte_alphabet())}
+
+    def _word(self, word: str) -> bytes | None:
+        """Ids of letters and closing marks by the model alone, without the normaliser and the splitter,
+        which take longer than the merges; None for other words."""
+        if not (m := _PLAIN.fullmatch(word)):
+            return None
+        shown = m[1].lower()
+        if not shown.isascii():
+            shown = shown.encode().decode("latin-1").translate(self.letters)
+        if m[2] not in self.marks:
+            self.marks[m[2]] = np.array(self.tokenizer.encode(m[2], add_special_tokens=False).ids, self.dtype).tobytes()
+        return array(self.dtype.char, [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes() + self.marks[m[2]]
 
     def encode(self, text: bytes) -> bytes:
         """Ids of a text as bytes of ``dtype``. Splitting at ASCII blanks changes no id: normalisation
@@ -57,7 +76,8 @@ class WordEncoder:
             if len(known) + len(new) > _CACHE:
                 known.clear()
                 new = set(words)
-            todo = list(new)
+            known.update((w, ids) for w in new if (ids := self._word(w.decode("utf-8", "replace"))) is not None)
+            todo = [w for w in new if w not in known]
             found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in todo], add_special_tokens=False)
             known.update((w, np.array(e.ids, self.dtype).tobytes()) for w, e in zip(todo, found, strict=True))
         return b"".join([known[w] for w in words])
