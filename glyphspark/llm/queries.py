@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language_id, line_dedup, mixing, quality, simhash, token_files, toxicity, warc
+from . import ann_tree, byte_bpe, language_id, line_dedup, mixing, quality, simhash, token_files, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", toxicity.fold() == 0)
 
 
+def op5_ann_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_tree.search(_table(spark, sf_dir, "embeddings"), lambda: F.col("vec_id") % 20 == 0)
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = line_dedup.line_report(_table(spark, sf_dir, "documents"))
     return report.select("doc_id", "n_lines", "n_removed", F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"))
@@ -68,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_files": op2_token_files,
         "op3_quality": op3_quality,
         "op4_toxicity": op4_toxicity,
+        "op5_ann_tree": op5_ann_tree,
         "op6_line_dedup": op6_line_dedup,
         "op7_language_id": op7_language_id,
         "op8_warc": op8_warc,
