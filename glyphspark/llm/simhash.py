@@ -30,7 +30,7 @@ import itertools
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import discard, map_arrow, stored, utf8
@@ -38,6 +38,8 @@ from .components import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 CHUNK = 2048
+#: Keys of dropped rows are broadcast up to so many (some tens of megabytes); more are joined by shuffle.
+MAX_BROADCAST_KEYS = 500_000
 #: Variants that a bucket of the first and of the second step holds.
 _BUCKET_1, _BUCKET_2 = 1 << 22, 1 << 20
 
@@ -63,13 +65,17 @@ def fingerprint(raw: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
+    """doc_id, text_hash (tells rows of one doc_id apart), fp (the 64 bits as a signed long)."""
 
     def run(batch: pa.RecordBatch) -> dict:
         fps = np.array([fingerprint(raw, shingle) for raw in batch.column("raw").to_pylist()], np.uint64)
-        return {"doc_id": batch.column("doc_id"), "fp": pa.array(fps.view(np.int64))}
+        return {"doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "fp": pa.array(fps.view(np.int64))}
 
-    return map_arrow(docs.select("doc_id", utf8(text).alias("raw")), "doc_id long, fp long", run)
+    return map_arrow(docs.select("doc_id", _text_hash(text), utf8(text).alias("raw")), "doc_id long, text_hash long, fp long", run)
+
+
+def _text_hash(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash")
 
 
 @functools.lru_cache(maxsize=2)
@@ -235,21 +241,28 @@ def _components_of(narrow: DataFrame, radius: int) -> DataFrame:
     rooted = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     # Most components are one fingerprint; the minimum needs a shuffle of nodes, not of documents.
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = rooted.select("fp", "root").join(named, "root").select("fp", "component_id")
+    by_fp = rooted.select("fp", "root").join(named, "root")
     return narrow.join(by_fp, "fp")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One row of each component: the one of the smallest doc_id (nulls last), then text; columns
-    unchanged. Rows of one doc_id and text are one."""
-    narrow = stored(
-        fingerprints(docs.withColumn("_key", F.col("text")).select("doc_id", "text")), "fingerprints"
-    )
-    grouped = _components_of(narrow, radius)
-    kept = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "component_id").distinct()
+    """One row of each component, columns unchanged: that of the smallest doc_id (nulls last), of its
+    texts the one of the smallest hash, of equal rows any."""
+    narrow = stored(fingerprints(docs), "fingerprints")
+    key = ("doc_id", "text_hash")
+    first = Window.partitionBy("root").orderBy(F.col("doc_id").asc_nulls_last(), "text_hash")
+    grouped = stored(_components_of(narrow, radius).select(*key, "root"), "fingerprint-groups")
+    chosen = stored(grouped.withColumn("_at", F.row_number().over(first)).where("_at = 1").select(*key), "fingerprint-chosen")
+    same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.text_hash") == F.col(f"{b}.text_hash"))
+    dropped = stored(grouped.alias("g").join(chosen.alias("c"), same("g", "c"), "left_anti").select(*key).distinct(), "fingerprint-dropped")
     names = docs.columns
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), "doc_id", "text")
-    # A doc_id that several rows carry is settled by the text's order within the doc_id.
-    chosen = row.join(kept.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    once = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-    return chosen.withColumn("_at", F.row_number().over(once)).where("_at = 1").select("_row.*")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), "doc_id", _text_hash("text"))
+    few = F.broadcast(dropped) if dropped.count() <= MAX_BROADCAST_KEYS else dropped
+    kept = rows.alias("r").join(few.alias("d"), same("r", "d"), "left_anti")
+    twice = stored(grouped.groupBy(*key).count().where("count > 1").select(*key).alias("t").join(chosen.alias("c"), same("t", "c"), "left_semi"), "fingerprint-twice")
+    if twice.isEmpty():
+        return kept.select("_row.*")
+    # Equal rows of a chosen key: one of them stays.
+    once = Window.partitionBy(*key).orderBy("text_hash")
+    single = kept.alias("k").join(twice.alias("t"), same("k", "t"), "left_semi").select("k.*").withColumn("_at", F.row_number().over(once)).where("_at = 1")
+    return kept.alias("k").join(twice.alias("t"), same("k", "t"), "left_anti").select("_row").unionByName(single.select("_row")).select("_row.*")
