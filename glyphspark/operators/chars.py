@@ -16,6 +16,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.strata import with_strata
+
 #: Characters of a piece: short enough for substring to be cheap, long enough to amortise the halo.
 PIECE = 128
 #: Ranges of doc_id for the prefix sums.
@@ -45,17 +47,17 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def corpus(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", name: str | Column = "all", separator: str = "\n") -> DataFrame:
+def corpus(docs: DataFrame, text: str = "text", doc_id: str | Column = "doc_id", name: str | Column = "all", separator: str = "\n", language: str | None = None) -> DataFrame:
     """corpus, doc_id, text of a table of documents; ``name`` is the corpus' name or a column with it.
-    Null texts are left out."""
-    label = F.lit(name) if isinstance(name, str) else name
-    return docs.where(F.col(text).isNotNull()).select(
-        label.alias("corpus"), F.col(doc_id).cast("long").alias("doc_id"), F.concat(F.col(text), F.lit(separator)).alias("text")
-    )
+    Null texts are left out. With a ``language`` each document gets the strata of its characters."""
+    label, key = F.lit(name) if isinstance(name, str) else name, F.col(doc_id) if isinstance(doc_id, str) else doc_id
+    out = docs.where(F.col(text).isNotNull()).select(label.alias("corpus"), key.cast("long").alias("doc_id"), F.concat(F.col(text), F.lit(separator)).alias("text"))
+    return out.withColumn("strata", with_strata("text", language)) if language else out
 
 
-def place(documents: DataFrame, k: int) -> DataFrame:
-    """corpus, doc_id, start, halo (the ``k`` characters before, fewer at the corpus' start)."""
+def place(documents: DataFrame, k: int, wrap: bool = False) -> DataFrame:
+    """corpus, doc_id, start, halo (the ``k`` characters before, fewer at the corpus' start unless the
+    corpus' end is to go on there: ``wrap``)."""
     narrow = documents.select("corpus", "doc_id", F.length("text").cast("long").alias("len"), F.right("text", F.lit(k)).alias("tail"))
     low, high = documents.agg(F.min("doc_id"), F.max("doc_id")).first()
     width = 1 if low is None else max(1, -(-(high - low + 1) // RANGES))
@@ -70,8 +72,13 @@ def place(documents: DataFrame, k: int) -> DataFrame:
     ranges = own.groupBy("corpus", "range").agg(F.sum("len").alias("size"), F.max_by("end", "doc_id").alias("tail"))
     upto = Window.partitionBy("corpus").orderBy("range")
     ranges = ranges.select(
-        "corpus", "range", F.coalesce(F.sum("size").over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"), joined(upto.rowsBetween(-k, -1)).alias("earlier")
+        "corpus", "range", F.coalesce(F.sum("size").over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"), joined(upto.rowsBetween(-k, -1)).alias("earlier"), "tail"
     )  # RANGES rows of a corpus at most
+    if wrap:
+        last = ranges.groupBy("corpus").agg(F.max_by(F.concat("earlier", "tail"), "range").alias("last"))
+        ranges = ranges.join(F.broadcast(last), "corpus").select("corpus", "range", "base", F.concat("last", "earlier").alias("earlier"))
+    else:
+        ranges = ranges.drop("tail")
     full = own.join(F.broadcast(ranges), ["corpus", "range"])
     return full.select("corpus", "doc_id", (F.col("base") + F.col("before")).alias("start"), F.right(F.concat("earlier", "halo"), F.lit(k)).alias("halo"), "len")
 
@@ -83,22 +90,26 @@ def stats(documents: DataFrame) -> DataFrame:
     return per.select("corpus", "n", F.floor(F.lit(0.8) * F.col("n")).alias("n_tr"), F.floor(F.lit(0.1) * F.col("n")).alias("n_vl"), "vocab_size")
 
 
-def characters(documents: DataFrame, k: int) -> DataFrame:
-    """corpus, pos, ch, ctx (up to ``k`` characters before pos, whatever the split)."""
-    placed = place(documents, k)
+def characters(documents: DataFrame, k: int, wrap: bool = False) -> DataFrame:
+    """corpus, pos, ch, ctx (up to ``k`` characters before pos, whatever the split), stratum (null
+    unless the documents have strata)."""
+    placed = place(documents, k, wrap)
+    strata = "strata" in documents.columns
     if documents.count() <= MAX_BROADCAST_DOCS:
         placed = F.broadcast(placed)
     # Pieces with their own halos: the document's halo, or the end of the piece before.
     size = max(PIECE, k)
     pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
-    whole = documents.join(placed.drop("len"), ["corpus", "doc_id"]).select("corpus", "start", "halo", pieces.alias("pieces"))
-    with_left = F.transform("pieces", lambda piece, i: F.struct(F.when(i == 0, F.col("halo")).otherwise(F.right(F.get("pieces", i - 1), F.lit(k))).alias("left"), piece.alias("piece")))
+    whole = documents.join(placed.drop("len"), ["corpus", "doc_id"]).select("corpus", "start", "halo", pieces.alias("pieces"), *(["strata"] if strata else []))
+    part = lambda i: F.slice("strata", i * size + 1, F.lit(size)) if strata else F.lit(None).cast("array<string>")
+    with_left = F.transform("pieces", lambda piece, i: F.struct(F.when(i == 0, F.col("halo")).otherwise(F.right(F.get("pieces", i - 1), F.lit(k))).alias("left"), piece.alias("piece"), part(i).alias("strata")))
     cut = whole.select("corpus", "start", F.posexplode(with_left).alias("i", "p"))
-    cut = cut.select("corpus", (F.col("start") + F.col("i") * size).alias("at"), F.length("p.left").alias("h"), F.concat("p.left", "p.piece").alias("s"), F.length("p.piece").alias("size"))
-    rows = cut.select("corpus", "at", "h", "s", F.explode(F.sequence(F.lit(1), F.col("size"))).alias("j"))
+    cut = cut.select("corpus", (F.col("start") + F.col("i") * size).alias("at"), F.length("p.left").alias("h"), F.concat("p.left", "p.piece").alias("s"), F.length("p.piece").alias("size"), "p.strata")
+    rows = cut.select("corpus", "at", "h", "s", "strata", F.explode(F.sequence(F.lit(1), F.col("size"))).alias("j"))
     j, h = F.col("j"), F.col("h")
     ctx = F.substring("s", F.greatest(F.lit(1), h + j - k), F.least(F.lit(k), h + j - 1))
-    return rows.select("corpus", (F.col("at") + j - 1).alias("pos"), F.substring("s", h + j, F.lit(1)).alias("ch"), ctx.alias("ctx"))
+    stratum = F.get("strata", j - 1) if strata else F.lit(None).cast("string")
+    return rows.select("corpus", (F.col("at") + j - 1).alias("pos"), F.substring("s", h + j, F.lit(1)).alias("ch"), ctx.alias("ctx"), stratum.alias("stratum"))
 
 
 def split_bounds(sizes: DataFrame, test: str = "last") -> DataFrame:

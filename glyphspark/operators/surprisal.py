@@ -28,12 +28,14 @@ class Setup:
     """What the generations of the analysis differ in."""
 
     ks: tuple[int, ...] = tuple(range(1, 9))
-    classifier: Callable[[Column], Column] = field(default=classify.nl)
+    classifier: Callable[..., Column] = field(default=classify.nl)
     alpha: float = 1.0
     cap: int | None = 5000
     test: str = "last"
     #: Only occurrences that have this many characters before them in the test, for every order.
     least_context: int | None = None
+    #: Tenths of the corpus by which it is turned before it is split.
+    rotation: int = 0
 
 
 class Corpus:
@@ -46,22 +48,30 @@ class Corpus:
         self._runs: DataFrame | None = None
 
     def characters(self) -> DataFrame:
-        return chars.characters(self.documents, self.k)
+        return chars.characters(self.documents, self.k, wrap=self.setup.rotation > 0)
 
-    def parts(self) -> DataFrame:
-        """corpus, part (train or test), off (position in the part), pos, ch, ctx."""
+    def turned(self) -> DataFrame:
+        """Characters with the bounds of their corpus, positions turned."""
         rows = self.characters().join(F.broadcast(self.bounds), "corpus")  # a row for each corpus
+        if self.setup.rotation:
+            offset = F.floor(F.col("n") * self.setup.rotation / 5.0 / 2.0)
+            rows = rows.withColumn("pos", F.pmod(F.col("pos") - offset, F.col("n")))
+        return rows
+
+    def parts(self) -> DataFrame:
+        """corpus, part (train or test), off (position in the part), ch, ctx, kind (class; test only)."""
+        rows = self.turned()
         part = F.when(F.col("pos") < F.col("n_tr"), "train").when((F.col("pos") >= F.col("t0")) & (F.col("pos") < F.col("t1")), "test")
         off = F.when(F.col("pos") < F.col("n_tr"), F.col("pos")).otherwise(F.col("pos") - F.col("t0"))
-        return rows.select("corpus", part.alias("part"), off.alias("off"), "pos", "ch", "ctx").where("part IS NOT NULL")
+        kind = F.when(F.col("pos") >= F.col("t0"), self.setup.classifier(F.col("ch"), F.col("stratum")))
+        return rows.select("corpus", part.alias("part"), off.alias("off"), "ch", "ctx", kind.alias("kind")).where("part IS NOT NULL")
 
     def cutoffs(self) -> DataFrame:
         """corpus, ch, last: for each order, the place in the test of the cap-th occurrence."""
         cap, spare = self.setup.cap, self.k
-        rows = self.characters().join(F.broadcast(self.bounds), "corpus").where("pos >= t0 AND pos < t1")
-        rows = rows.where(self.setup.classifier(F.col("ch")).isin("structural", "lexical"))
+        rows = self.parts().where("part = 'test' AND kind IN ('structural', 'lexical')")
         by_place = Window.partitionBy("corpus", "ch").orderBy("off")
-        first = rows.select("corpus", "ch", (F.col("pos") - F.col("t0")).alias("off")).withColumn("rn", F.row_number().over(by_place)).where(F.col("rn") <= cap + spare)
+        first = rows.select("corpus", "ch", "off").withColumn("rn", F.row_number().over(by_place)).where(F.col("rn") <= cap + spare)
         tops = first.groupBy("corpus", "ch").agg(*[
             # The cap-th occurrence at or after place k is the (cap + those before k)-th of all.
             F.struct(F.count_if(F.col("off") < k).alias("early"), F.lit(k).alias("k")).alias(f"e{k}") for k in self.setup.ks
@@ -72,7 +82,7 @@ class Corpus:
         return tops.join(places, ["corpus", "ch"], "left").select("corpus", "ch", last.alias("last"))
 
     def runs(self) -> DataFrame:
-        """corpus, part, k, ctx, ch, c (occurrences), ns (those within the cap; test only).
+        """corpus, part, k, ctx, ch, kind, c (occurrences), ns (those within the cap; test only).
 
         One pass over the characters, reduced at the longest context, then cut to every order.
         """
@@ -92,13 +102,13 @@ class Corpus:
             rows = rows.withColumn("within", within)
         # How many characters stand before it in its part, as far as that matters.
         rows = rows.withColumn("depth", F.least(F.col("off"), F.lit(self.k)).cast("int"))
-        whole = rows.groupBy("corpus", "part", "ctx", "ch", "depth", "within").agg(F.count(F.lit(1)).alias("c"))
+        whole = rows.groupBy("corpus", "part", "ctx", "ch", "kind", "depth", "within").agg(F.count(F.lit(1)).alias("c"))
         each = whole.select("*", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(i).alias("i")) for i, k in enumerate(ks)])).alias("o"))
         each = each.where(F.col("depth") >= F.col("o.k"))
         # ``within`` orders have passed their cut: the smallest, since cut places rise with k.
         counted = F.when(F.col("within") > F.col("o.i"), F.lit(0).cast("long")).otherwise(F.col("c"))
         cut_ctx = F.right("ctx", F.col("o.k"))
-        out = each.groupBy("corpus", "part", F.col("o.k").alias("k"), cut_ctx.alias("ctx"), "ch").agg(F.sum("c").alias("c"), F.sum(counted).alias("ns"))
+        out = each.groupBy("corpus", "part", F.col("o.k").alias("k"), cut_ctx.alias("ctx"), "ch", "kind").agg(F.sum("c").alias("c"), F.sum(counted).alias("ns"))
         self._runs = chars.stored(out, "corpus-runs")
         return self._runs
 
@@ -111,25 +121,27 @@ class Corpus:
         return self.ngrams().groupBy("corpus", "k", "ctx").agg(F.sum("c").alias("total"))
 
     def scored(self, alpha: float | None = None) -> DataFrame:
-        """corpus, k, ctx, ch, n, ns, surprisal, seen: the test's runs against the model."""
+        """corpus, k, ctx, ch, kind, n, ns, surprisal, seen: the test's runs against the model."""
         alpha = self.setup.alpha if alpha is None else alpha
-        test = self.runs().where("part = 'test'").select("corpus", "k", "ctx", "ch", F.col("c").alias("n"), "ns")
-        train = self.ngrams()
-        # Both meet on (corpus, k, ctx): one shuffle serves the counts, the totals and the join.
-        both = test.select("*", F.lit(None).cast("long").alias("c")).unionByName(train.select("corpus", "k", "ctx", "ch", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("ns"), "c"))
-        by_ctx = both.repartition("corpus", "k", "ctx").groupBy("corpus", "k", "ctx", "ch")
-        by_ctx = by_ctx.agg(F.sum("n").alias("n"), F.sum("ns").alias("ns"), F.coalesce(F.sum("c"), F.lit(0)).alias("c"))
-        total = by_ctx.groupBy("corpus", "k", "ctx").agg(F.sum("c").alias("total"))
-        full = by_ctx.where("n > 0").join(total, ["corpus", "k", "ctx"]).join(F.broadcast(self.sizes.select("corpus", "vocab_size")), "corpus")
+        # One shuffle on (corpus, k, ctx) serves the counts, the totals and both joins.
+        key = ["corpus", "k", "ctx"]
+        runs = self.runs().repartition(*key)
+        model = runs.where("part = 'train'").select(*key, "ch", "c")
+        total = model.groupBy(*key).agg(F.sum("c").alias("total"))
+        test = runs.where("part = 'test'").select(*key, "ch", "kind", F.col("c").alias("n"), "ns")
+        full = test.join(total, key, "left").join(model, [*key, "ch"], "left").join(F.broadcast(self.sizes.select("corpus", "vocab_size")), "corpus")
+        full = full.withColumns({"c": F.coalesce("c", F.lit(0)), "total": F.coalesce("total", F.lit(0))})
         p = (F.col("c") + F.lit(float(alpha))) / (F.col("total") + F.lit(float(alpha)) * F.col("vocab_size"))
-        return full.select("corpus", "k", "ctx", "ch", "n", "ns", (-F.log2(p)).alias("surprisal"), (F.col("total") > 0).alias("seen"))
+        return full.select("corpus", "k", "ctx", "ch", "kind", "n", "ns", (-F.log2(p)).alias("surprisal"), (F.col("total") > 0).alias("seen"))
 
     def surprisal(self, alpha: float | None = None) -> DataFrame:
         """corpus, k, ch, type, sum_surp, sum_sq, n_sum, n, ctx_hit of classified characters."""
         s, ns = F.col("surprisal"), F.col("ns")
-        rows = self.scored(alpha).withColumn("type", self.setup.classifier(F.col("ch"))).where("type IN ('structural', 'lexical')")
-        return rows.groupBy("corpus", "k", "ch", "type").agg(
-            F.sum(ns * s).alias("sum_surp"), F.sum(ns * s * s).alias("sum_sq"), F.sum("ns").alias("n_sum"), F.sum("n").alias("n"), F.sum(F.when(F.col("seen"), F.col("n")).otherwise(0)).alias("ctx_hit")
+        # By character alone: one that strata make structural here and lexical there has one row, whose
+        # type is structural if any of it is.
+        rows = self.scored(alpha).where("kind IN ('structural', 'lexical')")
+        return rows.groupBy("corpus", "k", "ch").agg(
+            F.max("kind").alias("type"), F.sum(ns * s).alias("sum_surp"), F.sum(ns * s * s).alias("sum_sq"), F.sum("ns").alias("n_sum"), F.sum("n").alias("n"), F.sum(F.when(F.col("seen"), F.col("n")).otherwise(0)).alias("ctx_hit")
         )
 
     def coverage(self) -> DataFrame:
@@ -137,10 +149,7 @@ class Corpus:
         rows = self.scored().groupBy("corpus", "k").agg(F.sum(F.when(F.col("seen"), F.col("n")).otherwise(0)).alias("hits"), F.sum("n").alias("total"))
         return rows.withColumn("coverage", F.col("hits") / F.col("total"))
 
-    def frequencies(self) -> DataFrame:
-        """corpus, ch, freq in the train part. An order's n-grams leave out its first k characters, so
-        the characters are counted on their own."""
-        rows = self.documents.select("corpus", "doc_id", F.posexplode(F.split("text", "")).alias("i", "ch")).where("ch <> ''")
-        placed = chars.place(self.documents, 1).select("corpus", "doc_id", "start")
-        rows = rows.join(placed, ["corpus", "doc_id"]).join(F.broadcast(self.bounds.select("corpus", "n_tr")), "corpus")
-        return rows.where("start + i < n_tr").groupBy("corpus", "ch").agg(F.count(F.lit(1)).alias("freq"))
+    def frequencies(self, part: str = "train") -> DataFrame:
+        """corpus, ch, freq in a part. An order's n-grams leave out the first k characters of the part,
+        so the characters are counted on their own."""
+        return self.parts().where(F.col("part") == part).groupBy("corpus", "ch").agg(F.count(F.lit(1)).alias("freq"))
