@@ -5,8 +5,9 @@ a priority queue, always opening the node whose centre has the largest inner pro
 has met enough leaves. How many are enough is calibrated: a few queries are compared with every vector,
 and the number of leaves is widened until their mean recall reaches the target (all leaves, if need be).
 
-Equal vectors are one entry with their k + 1 smallest ids, of which no more can matter. Leaves and the
-queries that visit them are cut into blocks of bounded size, so a full leaf or a popular one spreads.
+Equal vectors are one entry with their k + 1 smallest ids, of which no more can matter. Leaves stand on
+shelves; a query goes once to each shelf where it visits leaves and brings back its best there. Shelves
+and the queries that visit them are cut into blocks of bounded size, so a full or popular one spreads.
 
 Vectors that are null or zero, hold null or non-finite components, have no id or another length than
 most take no part, neither as queries nor as candidates. Repeated rows count once. Ties go to the
@@ -28,10 +29,11 @@ from ._common import stored
 
 #: Vectors that the tree is fitted on and queries that calibrate it, at most: those of smallest hashes.
 SAMPLE, CALIBRATION = 20_000, 128
-BRANCHES, LEAF_ROWS, MAX_LEAVES = 16, 64, 4_096
-RECALL = 0.97
-#: Rows of a block of a leaf's vectors, and of one of the queries that visit it.
-BLOCK = 2_048
+BRANCHES, LEAF_ROWS, MAX_LEAVES = 16, 512, 4_096
+RECALL = 0.96
+#: Neighbouring leaves share a shelf of about so many vectors (a fuller leaf has several blocks), and so
+#: many queries that visit a shelf make a block.
+SHELF, ASKS = 8_192, 2_048
 
 
 class Tree:
@@ -101,14 +103,19 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def _best(queries: np.ndarray, vectors: np.ndarray, firsts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _best(queries: np.ndarray, vectors: np.ndarray, firsts: np.ndarray, k: int, allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query rows, vector rows and scores of each query's k best, ties to the smaller first id. Scores
     are summed row by row in one order, so equal vectors get equal ones wherever they stand."""
+    if len(queries) > 256:
+        parts = [_best(queries[i : i + 256], vectors, firsts, k, None if allowed is None else allowed[i : i + 256]) for i in range(0, len(queries), 256)]
+        return np.concatenate([p[0] + 256 * i for i, p in enumerate(parts)]), np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
     rough = queries @ vectors.T
+    if allowed is not None:
+        rough[~allowed] = -np.inf
     k = min(k, len(vectors))
     least = np.partition(rough, len(vectors) - k, axis=1)[:, len(vectors) - k, None]
     slack = 1e-9 * (np.abs(queries) @ np.abs(vectors).max(0))[:, None]
-    q, v = np.nonzero(rough >= least - slack)
+    q, v = np.nonzero((rough >= least - slack) & (rough > -np.inf))
     exact = np.concatenate([(queries[q[i : i + 65536]] * vectors[v[i : i + 65536]]).sum(1) for i in range(0, len(q), 65536)] or [np.empty(0)])
     order = np.lexsort((firsts[v], -exact, q))
     q, v, exact = q[order], v[order], exact[order]
@@ -141,7 +148,7 @@ def search(vectors: DataFrame, is_query: Callable[[], Column], k: int = 20, reca
     if not n:
         return spark.createDataFrame([], out)
     sample = entries.orderBy(F.xxhash64("entry", F.lit(1)), "entry").limit(SAMPLE).select("v").toArrow()
-    tree = Tree(_matrix(sample["v"]), min(MAX_LEAVES, max(1, n // LEAF_ROWS)))
+    tree = Tree(_matrix(sample["v"]), min(MAX_LEAVES, max(1, min(16, n // 16), n // LEAF_ROWS)))
     shared = spark.sparkContext.broadcast(tree)  # MAX_LEAVES centres or so
 
     def file(batches):
@@ -153,34 +160,59 @@ def search(vectors: DataFrame, is_query: Callable[[], Column], k: int = 20, reca
     asked = stored(queries.select("entry").distinct().join(entries.select("entry", "v"), "entry"), "ann-asked")
     visits = _calibrate(asked, filed, tree, k, recall)
 
+    sizes = dict.fromkeys(range(tree.leaves), 0) | {r.leaf: r["count"] for r in filed.groupBy("leaf").count().collect()}  # a row for each leaf
+    before = np.cumsum([0, *(sizes[i] for i in range(tree.leaves))])
+    shelf_of = np.unique(before[:-1] // SHELF, return_inverse=True)[1]
+    shelved = spark.sparkContext.broadcast(shelf_of)
+
     def visit(batches):
         for b in batches:
-            leaves = [shared.value.visit(q, visits) for q in _matrix(b.column(1))]
-            at = np.repeat(np.arange(len(leaves)), [len(x) for x in leaves])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.array(x, np.int64) for x in leaves]) if leaves else np.empty(0, np.int64)), b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at))], ["leaf", "entry", "v"])
-
-    visiting = stored(asked.mapInArrow(visit, f"leaf long, entry long, v {kind}"), "ann-visits")
-    blocks = {}
-    for name, df in (("rows", filed), ("asks", visiting)):
-        blocks[name] = {r.leaf: -(-r["count"] // BLOCK) for r in df.groupBy("leaf").count().collect()}  # a row for each leaf
-    cut = lambda which: F.coalesce(F.get(F.lit([blocks[which].get(i, 1) for i in range(tree.leaves)]), F.col("leaf").cast("int")), F.lit(1))
+            out = []
+            for at, q in enumerate(_matrix(b.column(1))):
+                by_shelf: dict[int, list[int]] = {}
+                for leaf in shared.value.visit(q, visits):
+                    by_shelf.setdefault(int(shelved.value[leaf]), []).append(leaf)
+                out += [(shelf, at, leaves) for shelf, leaves in by_shelf.items()]
+            at = pa.array([x[1] for x in out], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x[0] for x in out], pa.int64()), b.column(0).take(at), b.column(1).take(at), pa.array([x[2] for x in out], pa.list_(pa.int64()))], ["shelf", "entry", "v", "leaves"]
+            )
+
+    visiting = stored(asked.mapInArrow(visit, f"shelf long, entry long, v {kind}, leaves array<long>"), "ann-visits")
+    asks = {r.shelf: -(-r["count"] // ASKS) for r in visiting.groupBy("shelf").count().collect()}  # a row for each shelf
+    rows_in = np.bincount(shelf_of, [sizes[i] for i in range(tree.leaves)])
+    blocks = {"rows": [max(1, -(-int(n) // SHELF)) for n in rows_in], "asks": [asks.get(i, 1) for i in range(len(rows_in))]}
+    cut = lambda which: F.get(F.lit(blocks[which]), F.col("shelf").cast("int"))
     own = lambda which: F.pmod(F.xxhash64("entry", F.lit(2)), cut(which))
     every = lambda which: F.explode(F.sequence(F.lit(0).cast("long"), (cut(which) - 1).cast("long")))
-    left = filed.withColumn("a", own("rows")).withColumn("b", every("asks"))
-    right = visiting.withColumn("b", own("asks")).withColumn("a", every("rows"))
+    left = filed.withColumn("shelf", F.get(F.lit([int(x) for x in shelf_of]), F.col("leaf").cast("int")).cast("long"))
+    left = left.withColumn("a", own("rows").cast("long")).withColumn("b", every("asks"))
+    right = visiting.withColumn("b", own("asks").cast("long")).withColumn("a", every("rows"))
     schema = pa.schema([("ask", pa.int64()), ("entry", pa.int64()), ("ids", pa.list_(pa.int64())), ("score", pa.float64())])
 
     def compare(rows: pa.Table, asks: pa.Table) -> pa.Table:
         if not rows.num_rows or not asks.num_rows:
             return schema.empty_table()
-        rows = rows.combine_chunks()
+        rows, asks = rows.combine_chunks(), asks.combine_chunks()
         offsets = rows["ids"].chunk(0).offsets.to_numpy()
         firsts = rows["ids"].chunk(0).values.to_numpy()[offsets[:-1]]
-        q, v, score = _best(_matrix(asks["v"]), _matrix(rows["v"]), firsts, k + 1)
+        names, leaf = np.unique(rows["leaf"].to_numpy(), return_inverse=True)
+        wanted = asks["leaves"].chunk(0)
+        row = np.repeat(np.arange(asks.num_rows), np.diff(wanted.offsets.to_numpy()))
+        at = np.minimum(np.searchsorted(names, wanted.flatten().to_numpy()), len(names) - 1)
+        visited = np.zeros((asks.num_rows, len(names)), bool)
+        visited[row, at] = names[at] == wanted.flatten().to_numpy()
+        parts, step = [], 256
+        queries, vectors = _matrix(asks["v"]), _matrix(rows["v"])
+        for i in range(0, len(queries), step):
+            q, v, score = _best(queries[i : i + step], vectors, firsts, k + 1, visited[i : i + step][:, leaf])
+            parts.append((q + i, v, score))
+        q, v, score = (np.concatenate(x) for x in zip(*parts, strict=True))
         pick = pa.array(v)
         return pa.Table.from_arrays([asks["entry"].take(pa.array(q)), rows["entry"].take(pick), rows["ids"].take(pick), pa.array(score)], schema=schema)
 
-    met = left.groupBy("leaf", "a", "b").cogroup(right.groupBy("leaf", "a", "b")).applyInArrow(compare, "ask long, entry long, ids array<long>, score double")
+    by = ("shelf", "a", "b")
+    met = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(compare, "ask long, entry long, ids array<long>, score double")
     top = Window.partitionBy("ask").orderBy(F.desc("score"), F.col("ids")[0])
     best = met.withColumn("_at", F.row_number().over(top)).where(F.col("_at") <= k + 1).select("ask", "score", F.explode("ids").alias("vec_id"))
     nearest = Window.partitionBy("ask").orderBy(F.desc("score"), "vec_id")
