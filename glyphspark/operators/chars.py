@@ -90,10 +90,20 @@ def stats(documents: DataFrame) -> DataFrame:
     return per.select("corpus", "n", F.floor(F.lit(0.8) * F.col("n")).alias("n_tr"), F.floor(F.lit(0.1) * F.col("n")).alias("n_vl"), "vocab_size")
 
 
-def characters(documents: DataFrame, k: int, wrap: bool = False) -> DataFrame:
+def spread(documents: DataFrame) -> DataFrame:
+    """Few documents dealt out to all cores, since a small file is one partition; many as they are."""
+    if documents.count() > MAX_BROADCAST_DOCS:
+        return documents
+    return documents.repartition(documents.sparkSession.sparkContext.defaultParallelism, "corpus", "doc_id")
+
+
+def characters(documents: DataFrame, k: int, wrap: bool = False, window: DataFrame | None = None) -> DataFrame:
     """corpus, pos, ch, ctx (up to ``k`` characters before pos, whatever the split), stratum (null
-    unless the documents have strata)."""
+    unless the documents have strata). With a ``window`` (corpus, low, high) documents outside of it are
+    left out before they are cut."""
     placed = place(documents, k, wrap)
+    if window is not None:
+        placed = placed.join(F.broadcast(window), "corpus").where((F.col("start") < F.col("high")) & (F.col("start") + F.col("len") > F.col("low"))).drop("low", "high")
     strata = "strata" in documents.columns
     if documents.count() <= MAX_BROADCAST_DOCS:
         placed = F.broadcast(placed)

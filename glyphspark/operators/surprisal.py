@@ -42,25 +42,27 @@ class Corpus:
     """Documents prepared once: sizes stored, characters cut on demand."""
 
     def __init__(self, documents: DataFrame, setup: Setup):
-        self.documents, self.setup, self.k = documents, setup, max(setup.ks)
+        self.documents, self.setup, self.k = chars.spread(documents), setup, max(setup.ks)
         self.sizes = chars.stored(chars.stats(documents), "corpus-sizes")
         self.bounds = chars.split_bounds(self.sizes, setup.test)
         self._runs: DataFrame | None = None
+        self._scored: dict[float, DataFrame] = {}
 
-    def characters(self) -> DataFrame:
-        return chars.characters(self.documents, self.k, wrap=self.setup.rotation > 0)
+    def characters(self, window: DataFrame | None = None) -> DataFrame:
+        turned = self.setup.rotation > 0  # positions are not those of the window then
+        return chars.characters(self.documents, self.k, turned, None if turned else window)
 
-    def turned(self) -> DataFrame:
+    def turned(self, window: DataFrame | None = None) -> DataFrame:
         """Characters with the bounds of their corpus, positions turned."""
-        rows = self.characters().join(F.broadcast(self.bounds), "corpus")  # a row for each corpus
+        rows = self.characters(window).join(F.broadcast(self.bounds), "corpus")  # a row for each corpus
         if self.setup.rotation:
             offset = F.floor(F.col("n") * self.setup.rotation / 5.0 / 2.0)
             rows = rows.withColumn("pos", F.pmod(F.col("pos") - offset, F.col("n")))
         return rows
 
-    def parts(self) -> DataFrame:
+    def parts(self, window: DataFrame | None = None) -> DataFrame:
         """corpus, part (train or test), off (position in the part), ch, ctx, kind (class; test only)."""
-        rows = self.turned()
+        rows = self.turned(window)
         part = F.when(F.col("pos") < F.col("n_tr"), "train").when((F.col("pos") >= F.col("t0")) & (F.col("pos") < F.col("t1")), "test")
         off = F.when(F.col("pos") < F.col("n_tr"), F.col("pos")).otherwise(F.col("pos") - F.col("t0"))
         kind = F.when(F.col("pos") >= F.col("t0"), self.setup.classifier(F.col("ch"), F.col("stratum")))
@@ -69,7 +71,7 @@ class Corpus:
     def cutoffs(self) -> DataFrame:
         """corpus, ch, last: for each order, the place in the test of the cap-th occurrence."""
         cap, spare = self.setup.cap, self.k
-        rows = self.parts().where("part = 'test' AND kind IN ('structural', 'lexical')")
+        rows = self.parts(self.bounds.selectExpr("corpus", "t0 AS low", "t1 AS high")).where("part = 'test' AND kind IN ('structural', 'lexical')")
         by_place = Window.partitionBy("corpus", "ch").orderBy("off")
         first = rows.select("corpus", "ch", "off").withColumn("rn", F.row_number().over(by_place)).where(F.col("rn") <= cap + spare)
         tops = first.groupBy("corpus", "ch").agg(*[
@@ -122,7 +124,9 @@ class Corpus:
 
     def scored(self, alpha: float | None = None) -> DataFrame:
         """corpus, k, ctx, ch, kind, n, ns, surprisal, seen: the test's runs against the model."""
-        alpha = self.setup.alpha if alpha is None else alpha
+        alpha = float(self.setup.alpha if alpha is None else alpha)
+        if alpha in self._scored:
+            return self._scored[alpha]
         # One shuffle on (corpus, k, ctx) serves the counts, the totals and both joins.
         key = ["corpus", "k", "ctx"]
         runs = self.runs().repartition(*key)
@@ -132,7 +136,9 @@ class Corpus:
         full = test.join(total, key, "left").join(model, [*key, "ch"], "left").join(F.broadcast(self.sizes.select("corpus", "vocab_size")), "corpus")
         full = full.withColumns({"c": F.coalesce("c", F.lit(0)), "total": F.coalesce("total", F.lit(0))})
         p = (F.col("c") + F.lit(float(alpha))) / (F.col("total") + F.lit(float(alpha)) * F.col("vocab_size"))
-        return full.select("corpus", "k", "ctx", "ch", "kind", "n", "ns", (-F.log2(p)).alias("surprisal"), (F.col("total") > 0).alias("seen"))
+        out = full.select("corpus", "k", "ctx", "ch", "kind", "n", "ns", (-F.log2(p)).alias("surprisal"), (F.col("total") > 0).alias("seen"))
+        self._scored[alpha] = chars.stored(out, "corpus-scored")
+        return self._scored[alpha]
 
     def surprisal(self, alpha: float | None = None) -> DataFrame:
         """corpus, k, ch, type, sum_surp, sum_sq, n_sum, n, ctx_hit of classified characters."""
@@ -150,6 +156,10 @@ class Corpus:
         return rows.withColumn("coverage", F.col("hits") / F.col("total"))
 
     def frequencies(self, part: str = "train") -> DataFrame:
-        """corpus, ch, freq in a part. An order's n-grams leave out the first k characters of the part,
-        so the characters are counted on their own."""
-        return self.parts().where(F.col("part") == part).groupBy("corpus", "ch").agg(F.count(F.lit(1)).alias("freq"))
+        """corpus, ch, freq in a part: from the counts of the shortest order, and the part's first
+        characters, which those leave out."""
+        k, first = min(self.setup.ks), F.lit(0) if part == "train" else F.col("t0")
+        window = self.bounds.select("corpus", first.alias("low"), (first + k).alias("high"))
+        early = self.parts(window).where((F.col("part") == part) & (F.col("off") < k)).select("corpus", "ch", F.lit(1).cast("long").alias("c"))
+        counted = self.runs().where((F.col("part") == part) & (F.col("k") == k)).select("corpus", "ch", "c")
+        return counted.unionByName(early).groupBy("corpus", "ch").agg(F.sum("c").alias("freq"))
