@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -50,13 +51,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete what ``stored`` wrote, once no later result reads it."""
-    path = getattr(df, "_glyph_path", None)
-    if path:
-        jvm, spark = df.sparkSession._jvm, df.sparkSession
-        p = jvm.org.apache.hadoop.fs.Path(path)
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``stored`` wrote, once no later result reads it, and let Spark remove the shuffle
+    files of finished jobs, which it does when the driver collects its garbage."""
+    spark = tables[0].sparkSession
+    for path in filter(None, (getattr(df, "_glyph_path", None) for df in tables)):
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def importable(spark: SparkSession) -> None:
