@@ -9,7 +9,9 @@ Prefix sums run in two steps, over ranges of doc_id and within them, so no windo
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -35,8 +37,11 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
-        local = spark.sparkContext.master.startswith("local")
-        _own_dirs[app] = tempfile.mkdtemp(prefix="glyphspark-") if local else spark.conf.get("spark.sql.warehouse.dir")
+        if spark.sparkContext.master.startswith("local"):
+            _own_dirs[app] = tempfile.mkdtemp(prefix="glyphspark-")
+            atexit.register(shutil.rmtree, _own_dirs[app], ignore_errors=True)
+        else:
+            _own_dirs[app] = spark.conf.get("spark.sql.warehouse.dir")
     return _own_dirs[app].rstrip("/")
 
 
