@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import gc
 import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -13,27 +12,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.chars import shared_dir
+
 #: A word is a run of characters other than space and the five ASCII control blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors share.
-
-    ``spark.checkpoint.dir`` if the session has it. Else a temporary folder in local mode, where
-    there is one machine only, and the warehouse on a cluster.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        local = spark.sparkContext.master.startswith("local")
-        _own_dirs[app] = tempfile.mkdtemp(prefix="glyphspark-") if local else spark.conf.get("spark.sql.warehouse.dir")
-    return _own_dirs[app].rstrip("/")
-
 
 def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/glyphspark-{label}-{uuid.uuid4().hex}"
