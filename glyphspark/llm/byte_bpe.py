@@ -30,7 +30,7 @@ _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Two matches of the pattern in a row: letters after a lone space or none, then marks or none.
 _PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
 #: Entries of a worker's memory of encoded pieces; beyond it the memory starts anew.
-_CACHE = 500_000
+_CACHE = 150_000
 
 
 def byte_alphabet() -> list[str]:

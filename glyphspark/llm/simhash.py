@@ -37,11 +37,11 @@ from ._common import discard, map_arrow, stored, utf8
 from .components import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
-CHUNK = 2048
+CHUNK = 1024
 #: Keys of dropped rows are broadcast up to so many (some tens of megabytes); more are joined by shuffle.
 MAX_BROADCAST_KEYS = 500_000
 #: Variants that a bucket of the first and of the second step holds.
-_BUCKET_1, _BUCKET_2 = 1 << 22, 1 << 20
+_BUCKET_1, _BUCKET_2 = 1 << 21, 1 << 20
 
 
 def fingerprint(raw: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -140,8 +140,9 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
     return kept
 
 
-def links(distinct: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
-    """Links u, v that connect all of the ``n`` distinct fingerprints (fp) within ``radius`` bits."""
+def links(distinct: DataFrame, n: int, radius: int = RADIUS) -> tuple[DataFrame, list[DataFrame]]:
+    """Links u, v that connect all of the ``n`` distinct fingerprints (fp) within ``radius`` bits, and
+    the stored tables that they are made from."""
     half = (radius + 1) // 2  # for an odd radius the bound is checked below, over all pairs of a variant
     if radius % 2:
         raise ValueError("the radius must be even: members of a variant are within twice the half radius")
@@ -226,7 +227,7 @@ def links(distinct: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
     to_bytes = F.udf(lambda fps: np.array(fps, np.int64).tobytes(), "binary")  # one call for a chunk
     asked = returned.unionByName(chunks.select("chunk", F.lit(0).alias("kind"), to_bytes("fps").alias("data")))
     full = asked.groupBy("chunk").applyInPandas(resend, "bucket long, variants binary, owners binary")
-    return full.groupBy("bucket").applyInPandas(link, "u long, v long")
+    return full.groupBy("bucket").applyInPandas(link, "u long, v long"), [chunks, returned]
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -237,7 +238,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", shingle: int = SHINGLE,
 
 def _components_of(narrow: DataFrame, radius: int) -> DataFrame:
     nodes = stored(narrow.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprint-nodes")
-    found = components(links(nodes.select("fp"), nodes.count(), radius))
+    linked, made_from = links(nodes.select("fp"), nodes.count(), radius)
+    found = components(linked)
+    discard(*made_from)
     rooted = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     # Most components are one fingerprint; the minimum needs a shuffle of nodes, not of documents.
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -254,6 +257,7 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     grouped = stored(_components_of(narrow, radius).select(*key, "root"), "fingerprint-groups")
     chosen = stored(grouped.withColumn("_at", F.row_number().over(first)).where("_at = 1").select(*key), "fingerprint-chosen")
     same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.text_hash") == F.col(f"{b}.text_hash"))
+    discard(narrow)
     dropped = stored(grouped.alias("g").join(chosen.alias("c"), same("g", "c"), "left_anti").select(*key).distinct(), "fingerprint-dropped")
     names = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), "doc_id", _text_hash("text"))
