@@ -17,7 +17,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _prepared: dict[tuple, Corpus] = {}
 
 MAIN = Setup()
-LANGS = Setup(ks=tuple(range(1, 7)))
+LANGS = Setup(ks=tuple(range(1, 9)))
 #: Published coefficients of eight corpora: name, whether it is code, beta3. Fixed values.
 DOMAINS = [("NL1", False, 0.5487), ("NL2", False, 1.1308), ("NL3", False, 0.7115), ("NL4", False, 0.6933), ("NL5", False, 0.6756), ("Code1", True, -0.0243), ("Code2", True, -0.3212), ("Code3", True, 0.0752)]
 
@@ -98,7 +98,7 @@ def global_coverage(spark, d):
 def reliable_kmax(spark, d):
     cov = langs(spark, d).coverage()
     one = lambda rule, name, **how: panel.reliable_kmax(cov, rule=rule, **how).select("corpus", F.col("kmax").alias(name))
-    return one("last", "last_reliable").join(one("first_gap", "before_gap"), "corpus").join(one("probes", "last_probe", probes=adaptive.probes(6)), "corpus")
+    return one("last", "last_reliable").join(one("first_gap", "before_gap"), "corpus").join(one("probes", "last_probe", probes=adaptive.probes(8)), "corpus")
 
 
 def class_distribution(spark, d):

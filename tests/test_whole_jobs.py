@@ -1,0 +1,48 @@
+"""Registered queries do the whole job: brute force and goldens where their SQL does not reach."""
+
+import random
+
+import pytest
+
+from glyphspark.plans import queries as core
+
+
+@pytest.fixture(scope="module")
+def sf_dir(spark, tmp_path_factory):
+    """Two languages of repeated sentences and one of random letters, whose order ends early."""
+    rng, rows = random.Random(1), []
+    words = ["".join(rng.choice("aeionrst") for _ in range(rng.randint(2, 7))) for _ in range(12)]
+    for i in range(90):
+        lang = ("en", "de", "xx")[i % 3]
+        text = "".join(rng.choice("abcdefgh.") for _ in range(400)) if lang == "xx" else ", ".join(rng.choice(words) for _ in range(80)) + "."
+        rows.append((i, text, lang))
+    path = str(tmp_path_factory.mktemp("sf"))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1).write.parquet(f"{path}/documents.parquet")
+    return path
+
+
+def _texts(spark, sf_dir, by_lang):
+    out = {}
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect():
+        name = r.lang if by_lang else "all"
+        out[name] = out.get(name, "") + r.text + "\n"
+    return out
+
+
+def _coverage(text, k):
+    n = len(text)
+    train, test = text[: int(0.8 * n)], text[int(0.8 * n) + int(0.1 * n) :]
+    seen = {train[i - k : i] for i in range(k, len(train))}
+    return sum(test[i - k : i] in seen for i in range(k, len(test))) / (len(test) - k)
+
+
+def test_languages_run_to_order_8(spark, sf_dir):
+    cov = {name: {k: _coverage(text, k) for k in range(1, 9)} for name, text in _texts(spark, sf_dir, True).items()}
+    last = lambda c, ks: max([k for k in ks if c[k] >= 0.5], default=1)
+    want = {name: (last(c, range(2, 9)), last(c, (1, 2, 4, 8))) for name, c in cov.items()}
+    assert want["en"] == (8, 8) and want["xx"][0] < 6
+    assert {r.corpus: (r.last_reliable, r.last_probe) for r in core.reliable_kmax(spark, sf_dir).collect()} == want
+    top = {}
+    for r in core.panel_k_histogram(spark, sf_dir).collect():
+        top[r.corpus] = max(r.k, top.get(r.corpus, 0))
+    assert top == {name: kmax for name, (kmax, _) in want.items()}
