@@ -106,8 +106,9 @@ def label_permutation(panel: DataFrame, n: int = 10_000, seed: int = 42) -> Data
         q = np.linalg.qr(np.column_stack([np.ones(len(y)), l2, f]))[0]
         rest = lambda v: v - q @ (q.T @ v)
         ry, rng, null = rest(y), np.random.default_rng(seed), np.empty(n)
-        shuffled = labels.copy()
+        base = np.sort(labels)[::-1]  # the structural labels first, as the published run starts each shuffle
         for i in range(n):
+            shuffled = base.copy()
             rng.shuffle(shuffled)
             s = shuffled[at]
             a, b = rest(s), rest(l2 * s)

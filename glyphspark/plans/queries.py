@@ -228,7 +228,7 @@ def domain_permutation(spark, d):
 
 
 def label_permutation(spark, d):
-    return regression.label_permutation(panel_of(main(spark, d)), n=2000)
+    return regression.label_permutation(panel_of(main(spark, d)))
 
 
 def mann_whitney(spark, d):
