@@ -94,14 +94,14 @@ def profiles(gain_all: DataFrame, base: DataFrame, kmax: DataFrame, max_k: int,
     """corpus, ch, type, s1, trajectory (k, sk, cg, coverage), k_peak, cg_peak, in_reliable, warn_neural.
 
     ``base`` has every character's row at k = 1; a character without a reliable order falls back to its
-    best order of any.
+    best order of any up to the ceiling.
     """
     rows = gain_all.join(F.broadcast(kmax), "corpus")
     ok = (F.col("k") <= F.col("kmax")) & (F.col("coverage") >= tau)
     # The largest gain, the smallest order among equals.
     best = lambda c: F.max(F.when(c, F.struct("cg", (-F.col("k")).alias("minus_k"), "coverage")))
     each = rows.groupBy("corpus", "ch").agg(
-        F.sort_array(F.collect_list(F.struct("k", "sk", "cg", "coverage"))).alias("trajectory"), best(ok).alias("good"), best(F.lit(True)).alias("any")
+        F.sort_array(F.collect_list(F.struct("k", "sk", "cg", "coverage"))).alias("trajectory"), best(ok).alias("good"), best(F.col("k") <= F.col("kmax")).alias("any")
     )
     full = base.select("corpus", "ch", "type", mean().alias("s1")).join(each, ["corpus", "ch"], "left").join(F.broadcast(kmax), "corpus")
     peak = F.coalesce("good", "any")

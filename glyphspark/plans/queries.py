@@ -264,14 +264,18 @@ def js_stratified(spark, d):
     return regression.beta3(variants.stratified_panel(prepared(spark, d, "pages", JS), classify.JS_SYNTAX), ["corpus"], small=False, normal_ci=True)
 
 
-PROFILE = Setup(ks=tuple(range(1, 9)), classifier=classify.nl_profile)
+PROFILE_MAX_K = 15
+PROFILE = Setup(ks=tuple(range(1, PROFILE_MAX_K + 1)), classifier=classify.nl_profile)
+
+
+def _profile_kmax(c: Corpus) -> DataFrame:
+    return panel.reliable_kmax(c.coverage(), rule="probes", probes=adaptive.probes(PROFILE_MAX_K))
 
 
 def _profiles(spark, d):
     c = prepared(spark, d, "all", PROFILE)
     table = c.surprisal()
-    kmax = panel.reliable_kmax(c.coverage(), rule="probes", probes=adaptive.probes(8))
-    return panel.profiles(panel.context_gain(table), table.where("k = 1 AND n >= 30"), kmax, 8)
+    return panel.profiles(panel.context_gain(table), table.where("k = 1 AND n >= 30"), _profile_kmax(c), PROFILE_MAX_K)
 
 
 def profile_trajectory(spark, d):
@@ -279,11 +283,13 @@ def profile_trajectory(spark, d):
 
 
 def profile_wide(spark, d):
-    return rounded(panel.wide(_profiles(spark, d), tuple(range(2, 9))).drop("corpus"))
+    return rounded(panel.wide(_profiles(spark, d), tuple(range(2, PROFILE_MAX_K + 1))).drop("corpus"))
 
 
 def adaptive_k(spark, d):
-    return adaptive.adaptive_orders(prepared(spark, d, "all", PROFILE), 8)
+    c = prepared(spark, d, "all", PROFILE)
+    reliable = _profile_kmax(c).first()
+    return adaptive.adaptive_orders(c, min(PROFILE_MAX_K, reliable.kmax if reliable else 1))
 
 
 def training_lines(spark, d):

@@ -61,3 +61,36 @@ def test_label_permutation_golden(spark, monkeypatch, name, p, mean, sd, top):
     r = core.label_permutation(spark, "").first()
     assert (r.n_permutations, round(r.p_permutation, 5)) == (10_000, p)
     assert (round(r.null_b3_mean, 5), round(r.null_b3_sd, 5), round(r.null_b3_95th, 5)) == (mean, sd, top)
+
+
+@pytest.fixture(scope="module")
+def late_dir(spark, tmp_path_factory):
+    """Three letters, each often the one 8 places before it: reliable at 8, not at 15."""
+    rng, text = random.Random(2), []
+    for i in range(60_000):
+        text.append(text[i - 8] if i >= 8 and rng.random() < 0.7 else rng.choice("abc"))
+    path = str(tmp_path_factory.mktemp("late"))
+    spark.createDataFrame([(0, "".join(text), "en")], "doc_id long, text string, lang string").write.parquet(f"{path}/documents.parquet")
+    return path
+
+
+def _kmax15(spark, path):
+    text = _texts(spark, path, False)["all"]
+    return max(k for k in (1, 2, 4, 8, 15) if _coverage(text, k) >= 0.5)
+
+
+def test_profiles_reach_order_15(spark, sf_dir, monkeypatch):
+    assert _kmax15(spark, sf_dir) == 15
+    rows = core.profile_trajectory(spark, sf_dir).collect()
+    assert {r.reliable_k_max for r in rows} == {15} and max(t.k for r in rows for t in r.trajectory) == 15
+    assert {"CG_k15", "cov_k15"} <= set(core.profile_wide(spark, sf_dir).columns)
+    monkeypatch.setattr(core.adaptive, "adaptive_orders", lambda corpus, k_max: (max(corpus.setup.ks), k_max))
+    assert core.adaptive_k(spark, sf_dir) == (15, 15)
+
+
+def test_profiles_warn_below_order_15(spark, late_dir, monkeypatch):
+    assert _kmax15(spark, late_dir) == 8
+    rows = core.profile_trajectory(spark, late_dir).collect()
+    assert {(r.ch, r.k_peak, r.warn_neural) for r in rows} == {(ch, 8, True) for ch in "abc"}
+    monkeypatch.setattr(core.adaptive, "adaptive_orders", lambda corpus, k_max: (max(corpus.setup.ks), k_max))
+    assert core.adaptive_k(spark, late_dir) == (15, 8)
