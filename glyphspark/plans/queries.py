@@ -297,6 +297,14 @@ def training_lines(spark, d):
     return sinks.training_lines(made).select("line_no", "line")
 
 
+def corpus_training_lines(spark, d):
+    """Training text of the corpus: the train part of the documents."""
+    c = main(spark, d)
+    train = c.bounds.selectExpr("corpus", "0L AS low", "n_tr AS high")
+    rows = chars.characters(c.documents, 1, window=train).join(F.broadcast(train), "corpus").where("pos < high")
+    return sinks.training_lines(rows).select("line_no", "line")
+
+
 def queries() -> dict[str, Query]:
     return {
         "char_freq": char_freq, "vocab_stats": vocab_stats, "ngram_counts_k1": _ngrams(1), "ngram_counts_k2": _ngrams(2), "ngram_counts_k4": _ngrams(4), "ctx_totals": ctx_totals,
@@ -306,7 +314,7 @@ def queries() -> dict[str, Query]:
         "regression_b3": regression_b3, "coef_table": coef_table, "tau_sweep": tau_sweep, "loo_structural": loo_structural, "functional_form": functional_form,
         "split_rotation": split_rotation, "lexical_definition": lexical_definition, "smoothing": smoothing, "domain_permutation": domain_permutation, "label_permutation": label_permutation,
         "mann_whitney": mann_whitney, "python_strata": python_strata, "js_strata": js_strata, "js_purity": js_purity, "js_stratified": js_stratified,
-        "profile_trajectory": profile_trajectory, "profile_wide": profile_wide, "adaptive_k": adaptive_k, "training_lines": training_lines,
+        "profile_trajectory": profile_trajectory, "profile_wide": profile_wide, "adaptive_k": adaptive_k, "training_lines": training_lines, "corpus_training_lines": corpus_training_lines,
     }
 
 

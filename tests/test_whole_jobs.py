@@ -94,3 +94,11 @@ def test_profiles_warn_below_order_15(spark, late_dir, monkeypatch):
     assert {(r.ch, r.k_peak, r.warn_neural) for r in rows} == {(ch, 8, True) for ch in "abc"}
     monkeypatch.setattr(core.adaptive, "adaptive_orders", lambda corpus, k_max: (max(corpus.setup.ks), k_max))
     assert core.adaptive_k(spark, late_dir) == (15, 8)
+
+
+def test_training_lines_of_the_corpus_are_its_train_part(spark, sf_dir):
+    text = _texts(spark, sf_dir, False)["all"]
+    train = text[: int(0.8 * len(text))]
+    want = [(i // 1000, " ".join(f"{ord(c):04x}" for c in train[i : i + 1000])) for i in range(0, len(train), 1000)]
+    rows = core.queries()["corpus_training_lines"](spark, sf_dir).collect()
+    assert sorted((r.line_no, r.line) for r in rows) == want
