@@ -44,7 +44,8 @@ _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
 
 
 class WordEncoder:
-    """Encodes texts with a tokenizer that drops white space, so each word stands alone."""
+    """Encodes texts with a tokenizer that drops white space, so each word stands alone. Special tokens
+    written out in a text are ordinary pieces."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
