@@ -1,8 +1,9 @@
-"""Choosing orders by the gradient of the gain: a loop on the driver over one small table an order."""
+"""Choosing orders by the gradient of the gain, from one small table of all orders."""
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,23 +17,16 @@ def still_climbing(gradients, n: int = 1000, alpha: float = 0.05, seed: int = 42
     return bool(np.percentile(means, 100 * (1 - alpha / 2)) > 0)
 
 
-class Scheduler:
-    """Raises k until the gain has stopped climbing ``patience`` times in a row."""
-
-    def __init__(self, k_max: int, patience: int = 2, n: int = 1000, alpha: float = 0.05):
-        self.k, self.k_max, self.patience, self.n, self.alpha = 1, k_max, patience, n, alpha
-        self.idle, self.before = 0, {}
-
-    def next(self, gain: dict[str, float]) -> int | None:
-        if self.k >= self.k_max:
-            return None
-        steps = [v - self.before[c] for c, v in gain.items() if c in self.before]
-        self.before = dict(gain)
-        self.idle = 0 if steps and still_climbing(steps, self.n, self.alpha) else self.idle + 1
-        if self.idle >= self.patience:
-            return None
-        self.k += 1
-        return self.k
+def orders_asked(gains: dict[int, dict[str, float]], k_max: int, patience: int = 2, n: int = 1000, alpha: float = 0.05) -> list[tuple[int, float | None]]:
+    """k and mean gradient of the orders 1 to ``k_max`` that are asked for: up to the end of the first run
+    of ``patience`` idle ones. An order is idle if its gains do not climb above those of the order before,
+    over the characters that both have; so is the first."""
+    table = pd.DataFrame({k: pd.Series(gains.get(k, {}), dtype=float) for k in range(1, k_max + 1)})
+    rises = [steps.dropna().to_numpy() for _, steps in table.diff(axis=1).items()]
+    idle = pd.Series([not (len(r) and still_climbing(r, n, alpha)) for r in rises])
+    stops = np.flatnonzero(idle.rolling(patience).sum() == patience)
+    asked = range(stops[0] + 1 if len(stops) else k_max)
+    return [(i + 1, float(rises[i].mean()) if len(rises[i]) else None) for i in asked]
 
 
 def probes(max_k: int) -> tuple[int, ...]:
@@ -45,11 +39,5 @@ def adaptive_orders(corpus: Corpus, k_max: int, patience: int = 2, gate: float =
     rows = table.select("ch", "k", (F.col("sum_surp") / F.col("n_sum")).alias("s"), (F.col("ctx_hit") / F.col("n")).alias("cov")).collect()  # vocabulary x orders
     one = {r.ch: r.s for r in rows if r.k == 1}
     gains = {k: {r.ch: one[r.ch] - r.s for r in rows if r.k == k and r.ch in one and (k == 1 or r.cov >= gate)} for k in corpus.setup.ks}
-    scheduler, before, out = Scheduler(k_max, patience), {}, []
-    k: int | None = 1
-    while k is not None:
-        now = gains.get(k, {})
-        steps = [v - before[c] for c, v in now.items() if c in before]
-        out.append((len(out), k, float(np.mean(steps)) if steps else None))
-        before, k = now, scheduler.next(now)
+    out = [(step, *row) for step, row in enumerate(orders_asked(gains, k_max, patience))]
     return corpus.documents.sparkSession.createDataFrame(out, "step int, k int, mean_gradient double")

@@ -1,20 +1,24 @@
 """Counts, coverage and capped surprisal of characters under fixed-order n-gram models.
 
-The characters are reduced once to counts of (longest context, character); every order's table comes
-from that by cutting contexts, with the few rows at the start of a split, whose contexts are shorter,
-counted beside it. Surprisal depends on (context, character) alone, so occurrences are counted before
-they meet the model, and only contexts of the test are looked up.
+The text is cut into segments in which every character counts for the same parts (train or test, of one
+split or of several rotations) with the same number of characters before it. Characters are exploded
+once and reduced to counts of (segment, longest context, character). One aggregation cuts the contexts to
+every order and adds up the segments of each part, one window adds the totals of contexts, and the result
+is stored: the *tally*, from which gains, coverage and frequencies are plain sums. Rotations are further
+columns of it, not further passes.
 
 The mean of a character's surprisal takes its first ``cap`` occurrences by position. The cap is a place
-in the text: the position of the cap-th occurrence. Those places come from the first cap + K
-occurrences of each character, which Spark limits before it shuffles them, and there is one row for a
-character, so no window holds all occurrences and what is broadcast is bounded by Unicode.
+in the text, found by counting: occurrences by character and cell of positions (cells grow with the
+position, so there are some thousands at most), running sums over a character's cells, and a look into
+the one cell in which the cap falls, cut again as long as it holds more than ``CELL_ROWS`` occurrences.
+So no window holds all occurrences of a character, and what is broadcast is bounded by Unicode.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +26,11 @@ from pyspark.sql import functions as F
 from ..functions import classify
 from . import chars
 
+#: Cells of positions per doubling of the position.
+CELLS = 64
+#: Occurrences of a cell that may be put in order in one group; a fuller cell is cut in ``CUTS`` first.
+CELL_ROWS, CUTS = 1 << 20, 1024
+
 
 @dataclass(frozen=True)
 class Setup:
@@ -36,130 +45,211 @@ class Setup:
     least_context: int | None = None
     #: Tenths of the corpus by which it is turned before it is split.
     rotation: int = 0
+    #: Several turns at once (without a cap): the tables get a column ``split`` then.
+    rotations: tuple[int, ...] | None = None
+
+    @property
+    def turns(self) -> tuple[int, ...]:
+        return (self.rotation,) if self.rotations is None else self.rotations
 
 
 class Corpus:
-    """Documents prepared once: sizes stored, characters cut on demand."""
-
-    def __init__(self, documents: DataFrame, setup: Setup):
-        self.documents, self.setup, self.k = chars.spread(documents), setup, max(setup.ks)
-        self.sizes = chars.stored(chars.stats(documents), "corpus-sizes")
-        self.bounds = chars.split_bounds(self.sizes, setup.test)
-        self._runs: DataFrame | None = None
-        self._scored: dict[float, DataFrame] = {}
-
-    def characters(self, window: DataFrame | None = None) -> DataFrame:
-        turned = self.setup.rotation > 0  # positions are not those of the window then
-        return chars.characters(self.documents, self.k, turned, None if turned else window)
-
-    def turned(self, window: DataFrame | None = None) -> DataFrame:
-        """Characters with the bounds of their corpus, positions turned."""
-        rows = self.characters(window).join(F.broadcast(self.bounds), "corpus")  # a row for each corpus
-        if self.setup.rotation:
-            offset = F.floor(F.col("n") * self.setup.rotation / 5.0 / 2.0)
-            rows = rows.withColumn("pos", F.pmod(F.col("pos") - offset, F.col("n")))
-        return rows
-
-    def parts(self, window: DataFrame | None = None) -> DataFrame:
-        """corpus, part (train or test), off (position in the part), ch, ctx, kind (class; test only)."""
-        rows = self.turned(window)
-        part = F.when(F.col("pos") < F.col("n_tr"), "train").when((F.col("pos") >= F.col("t0")) & (F.col("pos") < F.col("t1")), "test")
-        off = F.when(F.col("pos") < F.col("n_tr"), F.col("pos")).otherwise(F.col("pos") - F.col("t0"))
-        kind = F.when(F.col("pos") >= F.col("t0"), self.setup.classifier(F.col("ch"), F.col("stratum")))
-        return rows.select("corpus", part.alias("part"), off.alias("off"), "ch", "ctx", kind.alias("kind")).where("part IS NOT NULL")
-
-    def cutoffs(self) -> DataFrame:
-        """corpus, ch, last: for each order, the place in the test of the cap-th occurrence."""
-        cap, spare = self.setup.cap, self.k
-        rows = self.parts(self.bounds.selectExpr("corpus", "t0 AS low", "t1 AS high")).where("part = 'test' AND kind IN ('structural', 'lexical')")
-        by_place = Window.partitionBy("corpus", "ch").orderBy("off")
-        first = rows.select("corpus", "ch", "off").withColumn("rn", F.row_number().over(by_place)).where(F.col("rn") <= cap + spare)
-        tops = first.groupBy("corpus", "ch").agg(*[
-            # The cap-th occurrence at or after place k is the (cap + those before k)-th of all.
-            F.struct(F.count_if(F.col("off") < k).alias("early"), F.lit(k).alias("k")).alias(f"e{k}") for k in self.setup.ks
-        ])
-        places = first.where(F.col("rn") >= cap).groupBy("corpus", "ch").agg(F.map_from_entries(F.collect_list(F.struct("rn", "off"))).alias("at"))
+    """Documents prepared once: places, sizes and the tally are stored when first asked for.
+
+    ``trim`` is what to leave out at the corpus' end: the separator, if texts are joined by it."""
+
+    def __init__(self, documents: DataFrame, setup: Setup, trim: str = ""):
+        if setup.rotations is not None and setup.cap is not None:
+            raise ValueError("several rotations have no cap")
+        self.documents, self.setup, self.k, self.trim = chars.spread(documents), setup, max(setup.ks), trim
+        self.strata = "strata" in documents.columns
+        self.by = ["corpus"] if setup.rotations is None else ["corpus", "split"]
+
+    @cached_property
+    def placed(self) -> chars.Placed:
+        return chars.place(self.documents, self.k, any(self.setup.turns), len(self.trim))
+
+    @cached_property
+    def letters(self) -> DataFrame:
+        """corpus, ch, n of the whole corpus."""
+        rows = chars.letters(self.documents)
+        for ch in self.trim:
+            rows = rows.withColumn("n", F.col("n") - (F.col("ch") == ch).cast("long"))
+        return chars.stored(rows.where("n > 0"), "corpus-letters")
+
+    @cached_property
+    def sizes(self) -> DataFrame:
+        return chars.stored(chars.stats(self.letters), "corpus-sizes")
+
+    @cached_property
+    def bounds(self) -> DataFrame:
+        return chars.split_bounds(self.sizes, self.setup.test)
+
+    @cached_property
+    def _segments(self) -> list[tuple]:
+        """corpus, seg, low, tr, te, shift: the depth (characters before it in the part, up to ``k``) of
+        the segment's characters in train and test of each turn, -1 if they are not in it; a position
+        less ``shift`` is its place in the first turn's test. Some dozens for each corpus."""
+        least, out = self.setup.least_context or 0, []
+        deep = max(self.k, least)
+        for b in self.bounds.collect():
+            offsets = [int(b.n * turn / 5.0 / 2.0) for turn in self.setup.turns]
+            starts = [*range(deep + 1), b.n_tr, *range(b.t0, b.t0 + deep + 1), b.t1]
+            lows = sorted({0, *((at + off) % b.n for off in offsets for at in starts if at <= b.n)})
+            for seg, low in enumerate(lows):
+                places = [(low - off) % b.n for off in offsets]
+                tr = [min(at, deep) if at < b.n_tr else -1 for at in places]
+                te = [min(at - b.t0, deep) if b.t0 <= at < b.t1 and at >= b.n_tr and at - b.t0 >= least else -1 for at in places]
+                out.append((b.corpus, seg, low, tr, te, low - (places[0] - b.t0)))
+            out.append((b.corpus, len(lows), b.n, [-1] * len(offsets), [-1] * len(offsets), 0))  # what is trimmed
+        return out
+
+    def rows(self, part: str = "both", k: int | None = None) -> DataFrame:
+        """Characters (see ``chars.characters``) of the wanted parts with tr, te and shift of their segments."""
+        live = {"both": lambda s: max(s[3] + s[4]) >= 0, "train": lambda s: max(s[3]) >= 0, "test": lambda s: max(s[4]) >= 0}[part]
+        spark, found = self.documents.sparkSession, {}
+        for s in self._segments:
+            found.setdefault(s[0], ([], []))
+            found[s[0]][0].append(s[2])
+            found[s[0]][1].append(live(s))
+        edges = spark.createDataFrame([(c, *x) for c, x in found.items()], "corpus string, lows array<long>, live array<boolean>")
+        return chars.characters(self.documents, self.k if k is None else k, placed=self.placed, edges=edges).join(F.broadcast(self._table(live)), ["corpus", "seg"])
+
+    def _table(self, live: Callable) -> DataFrame:
+        kept = [(c, seg, tr, te, shift, max(tr + te)) for s in self._segments if live(s) for c, seg, _, tr, te, shift in [s]]
+        return self.documents.sparkSession.createDataFrame(kept, "corpus string, seg int, tr array<int>, te array<int>, shift long, deepest int")
+
+    def test_rows(self) -> DataFrame:
+        """corpus, off (place in the first turn's test), ch, stratum, kind (class) of its characters."""
+        rows = self.rows("test", 0).where(F.col("te")[0] >= 0)
+        return rows.select("corpus", (F.col("pos") - F.col("shift")).alias("off"), "ch", "stratum", self.setup.classifier(F.col("ch"), F.col("stratum")).alias("kind"))
+
+    def whole_test(self) -> DataFrame:
+        """corpus, ch, stratum of the first turn's test, its first characters included."""
+        offset, n = F.floor(F.col("n") * self.setup.turns[0] / 5.0 / 2.0), F.col("n")
+        rows = chars.characters(self.documents, 0, placed=self.placed).join(F.broadcast(self.bounds), "corpus")
+        return rows.where(F.pmod(F.col("pos") - offset, n).between(F.col("t0"), F.col("t1") - 1)).select("corpus", "ch", "stratum")
+
+    def cutoffs(self, cell_rows: int = CELL_ROWS) -> DataFrame:
+        """corpus, ch, last: for each order, the place in the test of the cap-th occurrence (far off, if
+        there are fewer)."""
+        rows = self.test_rows().where("kind IN ('structural', 'lexical')").select("corpus", "ch", "off")
+        cell = lambda off: F.floor(F.log2(off + 1.0) * CELLS)
+        measures = [F.count(F.lit(1)).alias("n"), F.min("off").alias("lo"), F.max("off").alias("hi")]
+        cells = chars.stored(rows.groupBy("corpus", "ch", cell(F.col("off")).alias("cell")).agg(*measures), "cells")
+        before = lambda *by: F.coalesce(F.sum("n").over(Window.partitionBy("corpus", "ch", *by).orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        # The cap-th occurrence at or after place k is the (cap + those before k)-th of all. Places below
+        # the largest order have a cell each, so cells count those before k.
+        if self.k >= CELLS:
+            raise ValueError("orders must be below the number of cells of a doubling")
+        early = F.array(*[F.sum(F.when(F.col("lo") < k, F.col("n")).otherwise(0)) for k in self.setup.ks])
+        ranks = cells.groupBy("corpus", "ch").agg(early.alias("early")).select("corpus", "ch", F.posexplode("early").alias("i", "early"))
+        ranks = ranks.select("corpus", "ch", "i", (F.lit(self.setup.cap) + F.col("early")).alias("rank"))
+        inside = lambda c: (F.col("rank") > F.col(c)) & (F.col("rank") <= F.col(c) + F.col("n"))
+        hits = cells.withColumn("before", before()).join(ranks, ["corpus", "ch"]).where(inside("before"))
+        hits = chars.stored(hits.select("corpus", "ch", "i", "lo", "hi", "n", (F.col("rank") - F.col("before")).alias("rank")), "cells-hit")
+        within = lambda h: rows.join(F.broadcast(h.select("corpus", "ch", "lo", "hi").distinct()), ["corpus", "ch"]).where("off BETWEEN lo AND hi")
+        while (hits.agg(F.max(F.when(F.col("hi") > F.col("lo"), F.col("n")))).first()[0] or 0) > cell_rows:
+            part = F.floor((F.col("off") - F.col("lo")) * F.lit(CUTS).cast("decimal(20,0)") / (F.col("hi") - F.col("lo") + 1)).cast("int")
+            finer = within(hits).select("corpus", "ch", F.col("lo").alias("of"), "off", part.alias("part"))
+            finer = chars.stored(finer.groupBy("corpus", "ch", "of", "part").agg(*measures), "cells")
+            asked = hits.select("corpus", "ch", "i", F.col("lo").alias("of"), "rank")
+            hits = finer.withColumn("before", before("of")).join(asked, ["corpus", "ch", "of"]).where(inside("before"))
+            hits = chars.stored(hits.select("corpus", "ch", "i", "lo", "hi", "n", (F.col("rank") - F.col("before")).alias("rank")), "cells-hit")
+        at = Window.partitionBy("corpus", "ch", "lo").orderBy("off")  # cell_rows occurrences at most
+        places = within(hits).withColumn("rank", F.row_number().over(at)).join(F.broadcast(hits.drop("hi", "n")), ["corpus", "ch", "lo", "rank"])
+        found = places.groupBy("corpus", "ch").agg(F.map_from_entries(F.collect_list(F.struct("i", "off"))).alias("at"))
         far = F.lit(1 << 62).cast("long")
-        last = F.array(*[F.coalesce(F.try_element_at("at", (F.lit(cap) + F.col(f"e{k}.early")).cast("int")), far) for k in self.setup.ks])
-        return tops.join(places, ["corpus", "ch"], "left").select("corpus", "ch", last.alias("last"))
-
-    def runs(self) -> DataFrame:
-        """corpus, part, k, ctx, ch, kind, c (occurrences), ns (those within the cap; test only).
-
-        One pass over the characters, reduced at the longest context, then cut to every order.
-        """
-        if self._runs is not None:
-            return self._runs
-        ks, rows = self.setup.ks, self.parts()
-        least = self.setup.least_context
-        if least is not None:
-            rows = rows.where((F.col("part") == "train") | (F.col("off") >= least))
-        if self.setup.cap is None:
-            rows = rows.withColumn("within", F.lit(0))
-        else:
-            cut = F.broadcast(self.cutoffs())
-            # How many of the orders, from the first, still count the occurrence: cut places do not fall as k grows.
-            rows = rows.join(cut.withColumn("part", F.lit("test")), ["corpus", "part", "ch"], "left")
-            within = sum(F.coalesce((F.col("off") > F.col("last")[i]).cast("int"), F.lit(0)) for i in range(len(ks)))
-            rows = rows.withColumn("within", within)
-        # How many characters stand before it in its part, as far as that matters.
-        rows = rows.withColumn("depth", F.least(F.col("off"), F.lit(self.k)).cast("int"))
-        whole = rows.groupBy("corpus", "part", "ctx", "ch", "kind", "depth", "within").agg(F.count(F.lit(1)).alias("c"))
-        each = whole.select("*", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(i).alias("i")) for i, k in enumerate(ks)])).alias("o"))
-        each = each.where(F.col("depth") >= F.col("o.k"))
-        # ``within`` orders have passed their cut: the smallest, since cut places rise with k.
-        counted = F.when(F.col("within") > F.col("o.i"), F.lit(0).cast("long")).otherwise(F.col("c"))
-        cut_ctx = F.right("ctx", F.col("o.k"))
-        out = each.groupBy("corpus", "part", F.col("o.k").alias("k"), cut_ctx.alias("ctx"), "ch", "kind").agg(F.sum("c").alias("c"), F.sum(counted).alias("ns"))
-        self._runs = chars.stored(out, "corpus-runs")
-        return self._runs
-
-    def ngrams(self) -> DataFrame:
-        """corpus, k, ctx, ch, c of the train part."""
-        return self.runs().where("part = 'train'").select("corpus", "k", "ctx", "ch", "c")
-
-    def totals(self) -> DataFrame:
+        return found.select("corpus", "ch", F.array(*[F.coalesce(F.try_element_at("at", F.lit(i)), far) for i in range(len(self.setup.ks))]).alias("last"))
+
+    @cached_property
+    def tally(self) -> DataFrame:
+        """corpus, k (0: no context), ctx, ch and, for each turn v: c{v} (in the train), t{v} (of the
+        context), a{v} (in the test), n{v} (classified there), s{v} (those within the cap), x{v} (1 if
+        lexical, 2 if structural anywhere in the test)."""
+        ks, turns, rows = self.setup.ks, range(len(self.setup.turns)), self.rows()
+        keys = ["corpus", "seg", "ctx", "ch", *(["stratum"] if self.strata else [])]
+        if self.setup.cap is not None:
+            # How many of the orders, from the first, no longer count the occurrence: cut places do not fall as k grows.
+            rows = rows.join(F.broadcast(chars.stored(self.cutoffs(), "cutoffs")), ["corpus", "ch"], "left")
+            past = sum((F.col("last")[i] < F.col("pos") - F.col("shift")).cast("int") for i in range(len(ks)))
+            rows = rows.withColumn("past", F.when((F.col("te")[0] < 0) | F.col("last").isNull(), 0).otherwise(past))
+            keys.append("past")
+        whole = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).join(F.broadcast(self._table(lambda s: True)), ["corpus", "seg"])
+        kind = self.setup.classifier(F.col("ch"), F.col("stratum") if self.strata else F.lit(None).cast("string"))
+        whole = whole.withColumn("kind", F.when(kind == "structural", 2).when(kind == "lexical", 1).otherwise(0))
+        each = whole.withColumn("o", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(i).alias("i")) for i, k in [(-1, 0), *enumerate(ks)]])))
+        each = each.where(F.col("deepest") >= F.col("o.k"))
+        count = lambda on: F.sum(F.when(on, F.col("c")).otherwise(0))
+        sums = []
+        for v in turns:
+            tested = F.col("te")[v] >= F.col("o.k")
+            classed = tested & (F.col("kind") > 0)
+            sums += [count(F.col("tr")[v] >= F.col("o.k")).alias(f"c{v}"), count(tested).alias(f"a{v}"), count(classed).alias(f"n{v}"), F.max(F.when(tested, F.col("kind")).otherwise(0)).alias(f"x{v}")]
+            if self.setup.cap is not None:
+                sums.append(count(classed & (F.col("past") <= F.col("o.i"))).alias(f"s{v}"))
+        out = each.groupBy("corpus", F.col("o.k").alias("k"), F.right("ctx", F.col("o.k")).alias("ctx"), "ch").agg(*sums)
+        of_ctx = Window.partitionBy("corpus", "k", "ctx")  # a context's characters: the alphabet at most
+        out = out.withColumns({f"t{v}": F.sum(f"c{v}").over(of_ctx) for v in turns})
+        return chars.stored(out, "corpus-tally")
+
+    @property
+    def counted(self) -> bool:
+        """Whether the tally is there already."""
+        return "tally" in self.__dict__
+
+    def ngrams(self, k: int | None = None) -> DataFrame:
+        """corpus, k, ctx, ch, c of the (first turn's) train part. One order, if the tally is not there, is
+        counted by itself."""
+        if k is None or (self.counted and k in self.setup.ks):
+            rows = self.tally.where("k > 0 AND c0 > 0")
+            return (rows if k is None else rows.where(F.col("k") == k)).select("corpus", "k", "ctx", "ch", F.col("c0").alias("c"))
+        if k > self.k:
+            raise ValueError("the corpus is placed for its own orders")
+        rows = self.rows("train", k).where(F.col("tr")[0] >= k)
+        return rows.groupBy("corpus", F.lit(k).alias("k"), "ctx", "ch").agg(F.count(F.lit(1)).alias("c"))
+
+    def totals(self, k: int | None = None) -> DataFrame:
         """corpus, k, ctx, total."""
-        return self.ngrams().groupBy("corpus", "k", "ctx").agg(F.sum("c").alias("total"))
-
-    def scored(self, alpha: float | None = None) -> DataFrame:
-        """corpus, k, ctx, ch, kind, n, ns, surprisal, seen: the test's runs against the model."""
-        alpha = float(self.setup.alpha if alpha is None else alpha)
-        if alpha in self._scored:
-            return self._scored[alpha]
-        # One shuffle on (corpus, k, ctx) serves the counts, the totals and both joins.
-        key = ["corpus", "k", "ctx"]
-        runs = self.runs().repartition(*key)
-        model = runs.where("part = 'train'").select(*key, "ch", "c")
-        total = model.groupBy(*key).agg(F.sum("c").alias("total"))
-        test = runs.where("part = 'test'").select(*key, "ch", "kind", F.col("c").alias("n"), "ns")
-        full = test.join(total, key, "left").join(model, [*key, "ch"], "left").join(F.broadcast(self.sizes.select("corpus", "vocab_size")), "corpus")
-        full = full.withColumns({"c": F.coalesce("c", F.lit(0)), "total": F.coalesce("total", F.lit(0))})
-        p = (F.col("c") + F.lit(float(alpha))) / (F.col("total") + F.lit(float(alpha)) * F.col("vocab_size"))
-        out = full.select("corpus", "k", "ctx", "ch", "kind", "n", "ns", (-F.log2(p)).alias("surprisal"), (F.col("total") > 0).alias("seen"))
-        self._scored[alpha] = chars.stored(out, "corpus-scored")
-        return self._scored[alpha]
+        return self.ngrams(k).groupBy("corpus", "k", "ctx").agg(F.sum("c").alias("total"))
+
+    def _split(self, sums: DataFrame, keys: list[str], names: tuple[str, ...], needed: str) -> DataFrame:
+        """Rows with columns ``name{v}`` as one row for each turn whose ``needed`` is above 0."""
+        turns = self.setup.turns
+        each = F.explode(F.array(*[F.struct(F.lit(turn).alias("split"), *[F.col(f"{name}{v}").alias(name) for name in names]) for v, turn in enumerate(turns)]))
+        out = sums.select(*keys, each.alias("r")).select(*keys, "r.*").where(F.col(needed) > 0)
+        return out if self.setup.rotations is not None else out.drop("split")
 
     def surprisal(self, alpha: float | None = None) -> DataFrame:
-        """corpus, k, ch, type, sum_surp, sum_sq, n_sum, n, ctx_hit of classified characters."""
-        s, ns = F.col("surprisal"), F.col("ns")
-        # By character alone: one that strata make structural here and lexical there has one row, whose
-        # type is structural if any of it is.
-        rows = self.scored(alpha).where("kind IN ('structural', 'lexical')")
-        return rows.groupBy("corpus", "k", "ch").agg(
-            F.max("kind").alias("type"), F.sum(ns * s).alias("sum_surp"), F.sum(ns * s * s).alias("sum_sq"), F.sum("ns").alias("n_sum"), F.sum("n").alias("n"), F.sum(F.when(F.col("seen"), F.col("n")).otherwise(0)).alias("ctx_hit")
-        )
-
-    def coverage(self) -> DataFrame:
-        """corpus, k, hits, total, coverage over all test characters, whatever their class."""
-        rows = self.scored().groupBy("corpus", "k").agg(F.sum(F.when(F.col("seen"), F.col("n")).otherwise(0)).alias("hits"), F.sum("n").alias("total"))
-        return rows.withColumn("coverage", F.col("hits") / F.col("total"))
+        """corpus, k, ch, type, sum_surp, sum_sq, n_sum, n, ctx_hit of classified characters. A character
+        that strata make structural here and lexical there is structural."""
+        a = F.lit(float(self.setup.alpha if alpha is None else alpha))
+        rows = self.tally.where("k > 0").join(F.broadcast(self.sizes.select("corpus", "vocab_size")), "corpus")  # a row for each corpus
+        sums = []
+        for v in range(len(self.setup.turns)):
+            n = F.col(f"n{v}")
+            s, taken = -F.log2((F.col(f"c{v}") + a) / (F.col(f"t{v}") + a * F.col("vocab_size"))), n if self.setup.cap is None else F.col(f"s{v}")
+            sums += [F.max(F.when(n > 0, F.col(f"x{v}"))).alias(f"kind{v}"), F.sum(F.when(n > 0, taken * s)).alias(f"sum_surp{v}"), F.sum(F.when(n > 0, taken * s * s)).alias(f"sum_sq{v}"),
+                     F.sum(taken).alias(f"n_sum{v}"), F.sum(n).alias(f"n{v}"), F.sum(F.when(F.col(f"t{v}") > 0, n).otherwise(0)).alias(f"ctx_hit{v}")]
+        rows = rows.where(" OR ".join(f"n{v} > 0" for v in range(len(self.setup.turns)))).groupBy("corpus", "k", "ch").agg(*sums)
+        out = self._split(rows, ["corpus", "k", "ch"], ("kind", "sum_surp", "sum_sq", "n_sum", "n", "ctx_hit"), "n")
+        kind = F.when(F.col("kind") == 2, "structural").otherwise("lexical").alias("type")
+        return out.select(*self.by, "k", "ch", kind, "sum_surp", "sum_sq", "n_sum", "n", "ctx_hit")
+
+    def coverage(self, classified: bool = False) -> DataFrame:
+        """corpus, k, hits, total, coverage over all test characters, or over the classified ones alone."""
+        name, sums = "n" if classified else "a", []
+        for v in range(len(self.setup.turns)):
+            c = F.col(f"{name}{v}")
+            sums += [F.sum(F.when(F.col(f"t{v}") > 0, c).otherwise(0)).alias(f"hits{v}"), F.sum(c).alias(f"total{v}")]
+        rows = self._split(self.tally.where("k > 0").groupBy("corpus", "k").agg(*sums), ["corpus", "k"], ("hits", "total"), "total")
+        return rows.select(*self.by, "k", "hits", "total", (F.col("hits") / F.col("total")).alias("coverage"))
 
     def frequencies(self, part: str = "train") -> DataFrame:
-        """corpus, ch, freq in a part: from the counts of the shortest order, and the part's first
-        characters, which those leave out."""
-        k, first = min(self.setup.ks), F.lit(0) if part == "train" else F.col("t0")
-        window = self.bounds.select("corpus", first.alias("low"), (first + k).alias("high"))
-        early = self.parts(window).where((F.col("part") == part) & (F.col("off") < k)).select("corpus", "ch", F.lit(1).cast("long").alias("c"))
-        counted = self.runs().where((F.col("part") == part) & (F.col("k") == k)).select("corpus", "ch", "c")
-        return counted.unionByName(early).groupBy("corpus", "ch").agg(F.sum("c").alias("freq"))
+        """corpus, ch, freq in a part."""
+        if not self.counted and self.setup.rotations is None:
+            rows = self.rows(part, 0).where(F.col("tr" if part == "train" else "te")[0] >= 0)
+            return rows.groupBy("corpus", "ch").agg(F.count(F.lit(1)).alias("freq"))
+        name = "c" if part == "train" else "a"
+        found = self._split(self.tally.where("k = 0"), ["corpus", "ch"], (name,), name)
+        return found.select(*self.by, "ch", F.col(name).alias("freq"))

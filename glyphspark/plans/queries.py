@@ -84,11 +84,11 @@ def vocab_stats(spark, d):
 
 
 def _ngrams(k: int) -> Query:
-    return lambda spark, d: main(spark, d).ngrams().where(F.col("k") == k).select("ctx", "ch", "c")
+    return lambda spark, d: main(spark, d).ngrams(k).select("ctx", "ch", "c")
 
 
 def ctx_totals(spark, d):
-    return main(spark, d).totals().where("k = 2").select("ctx", "total")
+    return main(spark, d).totals(2).select("ctx", "total")
 
 
 def global_coverage(spark, d):
@@ -102,8 +102,7 @@ def reliable_kmax(spark, d):
 
 
 def class_distribution(spark, d):
-    rows = langs(spark, d).documents.select("corpus", F.explode(F.split("text", "")).alias("ch")).where("ch <> ''").groupBy("corpus", "ch").count()
-    each = rows.groupBy("corpus", classify.nl(F.col("ch")).alias("class")).agg(F.sum("count").alias("n"))
+    each = langs(spark, d).letters.groupBy("corpus", classify.nl(F.col("ch")).alias("class")).agg(F.sum("n").alias("n"))
     total = each.groupBy("corpus").agg(F.sum("n").alias("total"))
     return each.join(F.broadcast(total), "corpus").select("corpus", "class", "n", F.round(100 * F.col("n") / F.col("total"), 4).alias("percent"))
 
@@ -189,17 +188,16 @@ def functional_form(spark, d):
     return regression.functional_form(panel_of(main(spark, d)))
 
 
-def _split(i: int) -> Setup:
-    return Setup(ks=tuple(range(1, 9)), classifier=classify.CLASSIFIERS["ascii_alnum_space"], cap=None, test="rotated", rotation=i)
+#: Five splits of one corpus: its text turned by none to four tenths before it is cut.
+SPLITS = Setup(classifier=classify.CLASSIFIERS["ascii_alnum_space"], cap=None, test="rotated", rotations=tuple(range(5)))
+
+
+def _split_fits(spark, d):
+    return regression.beta3(variants.uncapped_panel(prepared(spark, d, "all", SPLITS)), ["corpus", "split"])
 
 
 def split_rotation(spark, d):
-    rows = None
-    for i in range(5):
-        one = variants.uncapped_panel(prepared(spark, d, "all", _split(i))).withColumn("split", F.lit(i))
-        rows = one if rows is None else rows.unionByName(one)
-    out = regression.beta3(rows, ["corpus", "split"])
-    return rounded(out.select("split", F.col("beta3").alias("b3"), "se", "n_obs", "n_clusters"), 5)
+    return rounded(_split_fits(spark, d).select("split", F.col("beta3").alias("b3"), "se", "n_obs", "n_clusters"), 5)
 
 
 def lexical_definition(spark, d):
@@ -301,7 +299,7 @@ def corpus_training_lines(spark, d):
     """Training text of the corpus: the train part of the documents."""
     c = main(spark, d)
     train = c.bounds.selectExpr("corpus", "0L AS low", "n_tr AS high")
-    rows = chars.characters(c.documents, 1, window=train).join(F.broadcast(train), "corpus").where("pos < high")
+    rows = chars.characters(c.documents, 1, window=train, placed=c.placed).join(F.broadcast(train), "corpus").where("pos < high")
     return sinks.training_lines(rows).select("line_no", "line")
 
 

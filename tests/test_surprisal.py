@@ -146,10 +146,9 @@ def test_leave_one_out_and_forms(spark):
     assert null.n_permutations == 50 and null.n_structural == 2 and 0 <= null.p_permutation <= 1
 
 
-def test_scheduler_stops_after_patience():
-    s = adaptive.Scheduler(10, patience=2)
-    k, seen = 1, []
-    while k is not None:
-        seen.append(k)
-        k = s.next({c: min(k, 3) + 0.01 * i for i, c in enumerate("abcd")})
-    assert seen == [1, 2, 3, 4, 5] and adaptive.probes(10) == (1, 2, 4, 8, 10)
+def test_orders_stop_after_patience():
+    gains = {k: {c: min(k, 3) + 0.01 * i for i, c in enumerate("abcd")} for k in range(1, 11)}
+    asked = adaptive.orders_asked(gains, 10, patience=2)
+    assert [k for k, _ in asked] == [1, 2, 3, 4, 5] and [m for _, m in asked] == [None, pytest.approx(1), pytest.approx(1), pytest.approx(0), pytest.approx(0)]
+    assert [k for k, _ in adaptive.orders_asked(gains, 3)] == [1, 2, 3] and [k for k, _ in adaptive.orders_asked({}, 5)] == [1, 2]
+    assert adaptive.probes(10) == (1, 2, 4, 8, 10)
