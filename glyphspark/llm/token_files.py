@@ -13,8 +13,9 @@ the frames of the documents that they want.
 
 Documents are written in ascending doc_id order (nulls last; rows of one doc_id by their text), one
 file for each range of a range partitioning on (doc_id, hash of text), so a doc_id with many rows
-still spreads. A null or empty text gives the end id alone. An empty table gives no file and no row.
-Only doc_id and the text column are read. A lost executor's files stay in the shared folder; a
+still spreads. Equal rows are written one after the other. A null or empty text gives the end id alone;
+a very long text is one document, in a frame of its own. An empty table gives no file and no row. Only
+doc_id and the text column are read, whatever other columns are named. A lost executor's files stay in the shared folder; a
 repeated task writes the same bytes and renames them over its name.
 """
 
@@ -44,14 +45,13 @@ _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
 
 
 class WordEncoder:
-    """Encodes texts with a tokenizer that drops white space, so each word stands alone. Special tokens
-    written out in a text are ordinary pieces."""
+    """Encodes texts with a tokenizer that drops white space, so each word stands alone. A special token
+    written out in a text is that token, as the library reads it."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if max(self.tokenizer.get_vocab().values()) < 65536 else "<u4")
         self.known: dict[bytes, bytes] = {}
         self.marks: dict[str, bytes] = {"": b""}
@@ -216,7 +216,8 @@ def write_token_files(
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids (little-endian 4-byte ids)."""
+    """doc_id, start (ids of all documents before it), n_tokens, ids (little-endian 4-byte ids). A file is a
+    task's; of a file the tables and a few documents are held at a time."""
     before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     files = manifest.select("path", before.alias("base"))  # one row for each file: the sizes, not the documents
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
@@ -236,7 +237,8 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                             schema=schema,
                         )
 
-    return files.repartition("path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    # A number of its own: the manifest is small, but each of its rows is a file to read.
+    return files.repartition(max(1, manifest.count())).mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def read_documents(path: str, doc_ids: Iterable[int]) -> dict[int, list[np.ndarray]]:

@@ -54,9 +54,7 @@ def test_bpe_query_rows(spark, reference):
 def _tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(WORD_BPE)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(WORD_BPE)
 
 
 def _word_ids(text):
@@ -105,6 +103,16 @@ def test_words_split_alone_as_in_whole_texts():
         assert np.frombuffer(coder.encode(text.encode()), coder.dtype).tolist() == _word_ids(text)[:-1]
 
 
+def test_special_tokens_in_a_text_are_read_as_by_the_library():
+    from tokenizers import Tokenizer
+
+    coder, library = token_files.WordEncoder(WORD_BPE), Tokenizer.from_file(WORD_BPE)
+    for text in ("hello <|endoftext|> world", "a<|endoftext|>b", "<|startoftext|><|endoftext|>", "<|endoftext|>\n<|ENDOFTEXT|>", "x <|endof text|>", "<|endoftext|>, <|endoftext|>!"):
+        want = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(coder.encode(text.encode()), coder.dtype).tolist() == want
+    assert 49407 in np.frombuffer(coder.encode(b"hello <|endoftext|> world"), coder.dtype).tolist()
+
+
 def _targets_by_loop(sizes, weights=(1, 2, 3), most=3):
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
