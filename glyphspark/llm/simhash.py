@@ -4,31 +4,33 @@ Every fingerprint emits all variants within half the radius (2,081 for radius 4)
 within the radius share a variant, and two that share one are within it. So the fingerprints of a
 variant form a star around their smallest one, and no pairs within a group need be listed.
 
-A row for each variant would be 12 times the input, so variants travel packed, in two steps:
-
-1. Distinct fingerprints are dealt into chunks. Each chunk makes its variants, hashes them, and sends
-   the sorted hash prefixes, coded as differences (about 2 bytes a variant), to buckets by prefix.
-   A bucket finds the prefixes that occur twice and returns them to their chunks.
-2. The chunks make the variants of returned prefixes again and send them in full, with their
-   fingerprints, to buckets by variant. There equal variants are grouped, each pair of star centre and
-   member is verified, and a spanning forest of the links is kept.
-
-Prefixes have 8 bits more than it takes to number all variants, so about one in 256 returns by chance;
-step 2 compares whole variants, so no link is lost or invented. Components come from ``components``.
+Variants are shuffled by their leading bits. A row for each variant would be 12 times the input, so a
+fingerprint travels once to each prefix that some variant of it has: the prefixes that differ from its own
+in no more bits than half the radius (37 of 256, for 8 bits), packed as 8 bytes. The task of a prefix makes
+the variants that begin with it, in leaves of bounded size by further bits; over all prefixes each variant
+of each fingerprint is made exactly once. Equal variants are found by sorting, each pair of star centre and
+member is verified, and a spanning forest of the links is kept. Components come from ``components``.
+
+* The number of prefixes follows the number of fingerprints, so a prefix has about as many at any size, and
+  what is sent grows with n times the square of its logarithm.
+* Fingerprints that crowd on some prefixes (large groups of near copies) are counted first: a prefix with
+  more than ``HEAVY`` is split by its next bits, again and again. In the end a prefix is one variant, which
+  2,081 different fingerprints can have at most.
 
 Documents of equal fingerprints are one node. Texts without words (null, empty, blanks) have
-fingerprint zero and link like others. Rows of one doc_id are rows like any other; a null doc_id takes
-part but names no component unless it is alone. An empty table gives an empty one. Only doc_id and the
-text column are read.
+fingerprint zero and link like others. Very long texts are read whole, in slices of shingles. Rows of one
+doc_id are rows like any other; a null doc_id takes part but names no component unless it is alone. Of
+equal smallest ids ``keep_one`` takes the text of the smallest hash, of equal rows any. An empty table
+gives an empty one. Only doc_id and the text column are read; ``keep_one`` passes all columns on, whatever
+their names.
 """
 
 from __future__ import annotations
 
-import functools
-import itertools
+import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,11 +39,12 @@ from ._common import discard, map_arrow, stored, utf8
 from .components import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
-CHUNK = 1024
 #: Keys of dropped rows are broadcast up to so many (some tens of megabytes); more are joined by shuffle.
 MAX_BROADCAST_KEYS = 500_000
-#: Variants that a bucket of the first and of the second step holds.
-_BUCKET_1, _BUCKET_2 = 1 << 21, 1 << 20
+#: Fingerprints that a prefix should have, as sent, and those beyond which it is split; variants of a leaf.
+CROWD, HEAVY, LEAF = 250_000, 2_000_000, 1 << 20
+#: Fingerprints of a task that sends them and of a message, at most; bits by which a heavy prefix is split.
+SENT, MESSAGE, MORE_BITS = 1 << 15, 128, 12
 
 
 def fingerprint(raw: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -78,47 +81,68 @@ def _text_hash(text: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash")
 
 
-@functools.lru_cache(maxsize=2)
-def ball(radius: int) -> np.ndarray:
-    """All 64-bit masks of at most ``radius`` bits."""
-    masks = [0]
-    for n in range(1, radius + 1):
-        masks += [sum(1 << b for b in bits) for bits in itertools.combinations(range(64), n)]
-    return np.array(masks, np.uint64)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A bijective hash of 64-bit values, in place."""
-    x ^= x >> np.uint64(32)
-    x *= np.uint64(0xD6E8FEB86659FD93)
-    x ^= x >> np.uint64(32)
-    x *= np.uint64(0xD6E8FEB86659FD93)
-    return x
-
-
-def _variants(fps: np.ndarray, radius: int) -> np.ndarray:
-    return (fps[:, None] ^ ball(radius)[None, :]).ravel()
-
-
-def pack(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences: the two low bytes of all, then the rest compressed."""
-    import zstandard
-
-    gaps = np.diff(keys, prepend=np.uint64(0))
-    rest = zstandard.ZstdCompressor(level=1).compress(b"".join((gaps >> np.uint64(s)).astype(np.uint8).tobytes() for s in range(16, 64, 8)))
-    return len(keys).to_bytes(4, "little") + gaps.astype("<u2").tobytes() + rest
-
-
-def unpack(blob: bytes) -> np.ndarray:
-    import zstandard
-
-    n = int.from_bytes(blob[:4], "little")
-    gaps = np.frombuffer(blob, "<u2", n, 4).astype(np.uint64)
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[4 + 2 * n :], max_output_size=6 * n), np.uint8).reshape(6, n) if n else []
-    for i, plane in enumerate(planes):
-        if plane.any():
-            gaps += plane.astype(np.uint64) << np.uint64(16 + 8 * i)
-    return np.cumsum(gaps, dtype=np.uint64)
+def masks(bits: int, most: int) -> np.ndarray:
+    """All masks of ``bits`` bits of which at most ``most`` are set, fewest first."""
+    found, last = [np.zeros(1, np.uint64)], np.zeros(1, np.uint64)
+    for _ in range(min(most, bits)):
+        lowest = np.where(last == 0, np.uint64(bits), np.bitwise_count((last & (~last + np.uint64(1))) - np.uint64(1)))
+        # Each mask with one more bit below its lowest.
+        last = np.concatenate([m | (np.uint64(1) << np.arange(int(low), dtype=np.uint64)) for m, low in zip(last, lowest)])
+        found.append(last)
+    return np.concatenate(found)
+
+
+def _prefix(fps: np.ndarray, bits: int) -> np.ndarray:
+    return fps >> np.uint64(64 - bits) if bits else np.zeros(len(fps), np.uint64)
+
+
+def _next(fps: np.ndarray, done: int, bits: int) -> np.ndarray:
+    """The ``bits`` bits after the first ``done``."""
+    return _prefix(fps, done + bits) & np.uint64((1 << bits) - 1)
+
+
+def _to(prefix: np.ndarray, fps: np.ndarray, done: int, bits: int, half: int) -> tuple[np.ndarray, np.ndarray]:
+    """Prefixes of ``done + bits`` bits, under the given ones of ``done`` bits, that variants of the
+    fingerprints have, and the fingerprints, one entry for each."""
+    left = half - np.bitwise_count(_prefix(fps, done) ^ prefix).astype(np.int64)
+    parts: tuple[list, list] = ([], [])
+    for budget in range(half + 1):
+        at = np.flatnonzero(left == budget)
+        if len(at):
+            flips = masks(bits, budget)
+            own = (prefix[at] << np.uint64(bits)) | _next(fps[at], done, bits)
+            parts[0].append((own[:, None] ^ flips[None, :]).ravel())
+            parts[1].append(np.repeat(fps[at], len(flips)))
+    if not parts[0]:
+        return np.empty(0, np.uint64), np.empty(0, np.uint64)
+    return np.concatenate(parts[0]), np.concatenate(parts[1])
+
+
+def _leaves(fps: np.ndarray, prefix: int, bits: int, half: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Variants that begin with the prefix, and their fingerprints' numbers, in leaves of about ``LEAF``."""
+    left = half - np.bitwise_count(_prefix(fps, bits) ^ np.uint64(prefix)).astype(np.int64)
+    flips = {budget: masks(64 - bits, budget) for budget in range(half + 1)}
+    sizes = np.array([len(flips[b]) for b in range(half + 1)])
+    total = int(sizes[left].sum())
+    if total > LEAF and bits < 64:
+        more = min(64 - bits, 12, max(1, math.ceil(math.log2(total / LEAF))))
+        own = _next(fps, bits, more)
+        for q in range(1 << more):
+            at = np.flatnonzero(np.bitwise_count(own ^ np.uint64(q)) <= left)
+            if len(at) > 1:
+                for v, owner in _leaves(fps[at], (prefix << more) | q, bits + more, half):
+                    yield v, at[owner]
+        return
+    rest = np.uint64((1 << (64 - bits)) - 1)
+    base = np.uint64(prefix << (64 - bits) if bits else 0)
+    variants, owners = [], []
+    for budget in range(half + 1):
+        at = np.flatnonzero(left == budget)
+        if len(at):
+            variants.append(((fps[at] & rest | base)[:, None] ^ flips[budget][None, :]).ravel())
+            owners.append(np.repeat(at, len(flips[budget])))
+    if variants:
+        yield np.concatenate(variants), np.concatenate(owners)
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
@@ -140,94 +164,125 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
     return kept
 
 
-def links(distinct: DataFrame, n: int, radius: int = RADIUS) -> tuple[DataFrame, list[DataFrame]]:
-    """Links u, v that connect all of the ``n`` distinct fingerprints (fp) within ``radius`` bits, and
-    the stored tables that they are made from."""
-    half = (radius + 1) // 2  # for an odd radius the bound is checked below, over all pairs of a variant
-    if radius % 2:
-        raise ValueError("the radius must be even: members of a variant are within twice the half radius")
-    n_variants = max(1, n * len(ball(half)))
-    key_bits = min(64, max(32, n_variants.bit_length() + 8))
-    shift, bucket_bits = 64 - key_bits, max(0, (n_variants // _BUCKET_1).bit_length())
-    low = key_bits - bucket_bits
-    n_chunks = -(-n // CHUNK) or 1
+def meeting(fps: np.ndarray, prefix: int, bits: int, radius: int) -> tuple[list[int], list[int]]:
+    """Links (u, v) that connect the fingerprints as far as they share variants of this prefix."""
+    fps, found = np.unique(fps), []
+    signed = fps.view(np.int64)
+    for v, owner in _leaves(fps, prefix, bits, radius // 2):
+        ordered = np.sort(v)
+        twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+        if not len(twice):
+            continue
+        at = np.minimum(np.searchsorted(twice, v), len(twice) - 1)
+        hit = np.flatnonzero(twice[at] == v)
+        group, who = at[hit], signed[owner[hit]]
+        order = np.lexsort((who, group))
+        group, who = group[order], who[order]
+        first = np.concatenate([[True], group[1:] != group[:-1]])
+        centre = who[np.flatnonzero(first)[np.cumsum(first) - 1]]
+        pairs = np.unique(np.stack([centre, who])[:, ~first], axis=1)
+        near = np.bitwise_count(pairs[0].view(np.uint64) ^ pairs[1].view(np.uint64)) <= radius  # always so: two halves meet
+        found.append(pairs[:, near])
+    if not found:
+        return [], []
+    return _forest(*np.unique(np.concatenate(found, axis=1), axis=1))
 
-    chunks = stored(
-        distinct.groupBy(F.pmod(F.xxhash64("fp"), F.lit(n_chunks)).alias("chunk")).agg(F.collect_list("fp").alias("fps")), "simhash-chunks"
-    )  # CHUNK fingerprints or so each: distinct, dealt by hash
 
-    def keys_of(fps) -> tuple[np.ndarray, np.ndarray]:
-        v = _variants(np.sort(np.asarray(fps, np.int64)).view(np.uint64), half)
-        return v, _mix(v.copy()) >> np.uint64(shift)
+def links(distinct: DataFrame, n: int, radius: int = RADIUS, crowd: int = CROWD, heavy: int = HEAVY) -> DataFrame:
+    """Links u, v that connect all of the ``n`` distinct fingerprints (fp) within ``radius`` bits."""
+    half = radius // 2
+    if radius % 2:
+        raise ValueError("the radius must be even: members of a variant are within twice the half radius")
+    first = 4
+    while first < 32 and n * len(masks(first, half)) >> first > crowd:
+        first += 1
+    first = max(first, min(8, n.bit_length()))
+    spark = distinct.sparkSession
+    dealt = distinct.repartition(1 + n // SENT, "fp")  # a number of its own: a small file would be one task
+    # Prefixes to split, by their number of bits: those that more fingerprints are sent to than a task should have.
+    split: list[tuple[int, int, np.ndarray]] = []
+
+    def entries(fps: np.ndarray, levels: list) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """bits, prefixes and fingerprints of all entries, those of split prefixes in their parts; the last
+        level of ``levels`` comes last."""
+        prefix, fps = _to(np.zeros(len(fps), np.uint64), fps, 0, first, half)
+        bits = first
+        for done, more, crowded in levels:
+            inside = crowded[np.minimum(np.searchsorted(crowded, prefix), len(crowded) - 1)] == prefix
+            yield done, prefix[~inside], fps[~inside]
+            prefix, fps = _to(prefix[inside], fps[inside], done, more, half)
+            bits = done + more
+        yield bits, prefix, fps
+
+    def counting(batches):
+        for batch in batches:
+            *_, (bits, prefix, _) = entries(batch.column(0).to_numpy().view(np.uint64), shared.value)
+            names, counts = np.unique(prefix, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(counts.astype(np.int64))], ["prefix", "n"])
 
     def send(batches):
         for batch in batches:
-            for chunk, fps in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                keys = keys_of(fps.values.to_numpy())[1]
-                keys.sort()
-                cuts = np.searchsorted(keys, np.arange(1 << bucket_bits, dtype=np.uint64) << np.uint64(low)).tolist() + [len(keys)]
-                mask = np.uint64((1 << low) - 1)
-                for b in range(1 << bucket_bits):
-                    if cuts[b] < cuts[b + 1]:
-                        yield pa.RecordBatch.from_pylist([{"bucket": b, "chunk": chunk, "keys": pack(keys[cuts[b] : cuts[b + 1]] & mask)}])
-
-    def meet(group: pd.DataFrame) -> pd.DataFrame:
-        parts = [unpack(x) for x in group["keys"]]
-        every = np.concatenate(parts)
-        every.sort()
-        twice = np.unique(every[1:][every[1:] == every[:-1]])
-        base = np.uint64(int(group["bucket"].iloc[0]) << low)
-        out = []
-        if len(twice):
-            for chunk, keys in zip(group["chunk"], parts, strict=True):
-                at = np.searchsorted(keys, twice)
-                hit = twice[(at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == twice)]
-                if len(hit):
-                    out.append((chunk, 1, (hit | base).tobytes()))
-        return pd.DataFrame(out, columns=["chunk", "kind", "data"])
-
-    sent = chunks.mapInArrow(send, "bucket long, chunk long, keys binary")
-    returned = stored(sent.groupBy("bucket").applyInPandas(meet, "chunk long, kind int, data binary"), "simhash-returned")
-    n_returned = (returned.agg(F.sum(F.octet_length("data"))).first()[0] or 0) // 8
-    n_last = max(1, n_returned // _BUCKET_2)
-
-    def resend(group: pd.DataFrame) -> pd.DataFrame:
-        asked = [np.frombuffer(x, np.uint64) for x in group.loc[group["kind"] == 1, "data"]]
-        own = group.loc[group["kind"] == 0, "data"]
-        if not asked or not len(own):
-            return pd.DataFrame([], columns=["bucket", "variants", "owners"])
-        fps = np.sort(np.frombuffer(own.iloc[0], np.int64)).view(np.uint64)
-        asked = np.sort(np.concatenate(asked))
-        v, keys = keys_of(fps.view(np.int64))
-        coarse = np.uint64(max(0, key_bits - 22))
-        table = np.zeros(1 << 22, bool)
-        table[asked >> coarse] = True
-        may = np.flatnonzero(table[keys >> coarse])
-        may = may[asked[np.minimum(np.searchsorted(asked, keys[may]), len(asked) - 1)] == keys[may]]
-        v, owner = v[may], fps[may // len(ball(half))]
-        bucket = (_mix(v ^ np.uint64(0x5555)) >> np.uint64(11)) % np.uint64(n_last)
-        order = np.argsort(bucket, kind="stable")
-        bucket, v, owner = bucket[order], v[order], owner[order]
-        names, starts = np.unique(bucket, return_index=True)
-        stops = [*starts[1:], len(v)]
-        return pd.DataFrame([(int(b), v[s:e].tobytes(), owner[s:e].tobytes()) for b, s, e in zip(names, starts, stops, strict=True)], columns=["bucket", "variants", "owners"])
-
-    def link(group: pd.DataFrame) -> pd.DataFrame:
-        v = np.frombuffer(b"".join(group["variants"]), np.uint64)
-        owner = np.frombuffer(b"".join(group["owners"]), np.int64)
-        order = np.lexsort((owner, v))
-        v, owner = v[order], owner[order]
-        first = np.concatenate([[True], v[1:] != v[:-1]])
-        centre = owner[np.flatnonzero(first)[np.cumsum(first) - 1]]
-        pairs = np.unique(np.stack([centre, owner])[:, ~first], axis=1)
-        near = np.bitwise_count(pairs[0].view(np.uint64) ^ pairs[1].view(np.uint64)) <= radius  # always so: two halves meet
-        u, w = _forest(pairs[0][near], pairs[1][near])
-        return pd.DataFrame({"u": u, "v": w}, dtype=np.int64)
+            out: dict[str, list] = {"bits": [], "prefix": [], "fps": []}
+            for bits, prefix, fps in entries(batch.column(0).to_numpy().view(np.uint64), shared.value):
+                order = np.argsort(prefix, kind="stable")
+                names, starts = np.unique(prefix[order], return_index=True)
+                data = fps[order].tobytes()
+                for name, start, end in zip(names.view(np.int64).tolist(), starts.tolist(), [*starts[1:].tolist(), len(fps)]):
+                    for at in range(start, end, MESSAGE):
+                        out["bits"].append(bits)
+                        out["prefix"].append(name)
+                        out["fps"].append(data[8 * at : 8 * min(end, at + MESSAGE)])
+            yield pa.RecordBatch.from_arrays([pa.array(out["bits"], pa.int32()), pa.array(out["prefix"], pa.int64()), pa.array(out["fps"], pa.binary())], ["bits", "prefix", "fps"])
+
+    bits = first
+    while bits < 64:
+        shared = spark.sparkContext.broadcast(split)  # the crowded prefixes: entries over ``heavy`` at most
+        full = dealt.mapInArrow(counting, "prefix long, n long").groupBy("prefix").agg(F.sum("n").alias("n")).where(F.col("n") > heavy)
+        crowded = np.sort(np.array([r.prefix for r in full.select("prefix").collect()], np.int64).view(np.uint64))
+        if not len(crowded):
+            break
+        more = min(MORE_BITS, 64 - bits)
+        split = [*split, (bits, more, crowded)]
+        bits += more
+    shared = spark.sparkContext.broadcast(split)
+
+    def meet(batches):
+        held: tuple[tuple[int, int] | None, list[bytes]] = (None, [])
+        u: list[int] = []
+        v: list[int] = []
+
+        def settle(key: tuple[int, int] | None, parts: list[bytes]) -> None:
+            if key is not None and sum(map(len, parts)) > 8:  # one fingerprint meets nothing
+                a, b = meeting(np.frombuffer(b"".join(parts), np.uint64), int(np.int64(key[1]).view(np.uint64)), key[0], radius)
+                u.extend(a)
+                v.extend(b)
+
+        def made():
+            rows = pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+            u.clear()
+            v.clear()
+            return rows
 
-    to_bytes = F.udf(lambda fps: np.array(fps, np.int64).tobytes(), "binary")  # one call for a chunk
-    asked = returned.unionByName(chunks.select("chunk", F.lit(0).alias("kind"), to_bytes("fps").alias("data")))
-    full = asked.groupBy("chunk").applyInPandas(resend, "bucket long, variants binary, owners binary")
-    return full.groupBy("bucket").applyInPandas(link, "u long, v long"), [chunks, returned]
+        for batch in batches:
+            kinds, names = (batch.column(i).to_numpy() for i in range(2))
+            cuts = [0, *(np.flatnonzero((kinds[1:] != kinds[:-1]) | (names[1:] != names[:-1])) + 1).tolist(), len(names)]
+            for s, e in zip(cuts[:-1], cuts[1:]):
+                if s < e:
+                    key, parts = (int(kinds[s]), int(names[s])), batch.column(2).slice(s, e - s).to_pylist()
+                    if key == held[0]:
+                        held[1].extend(parts)
+                    else:
+                        settle(*held)
+                        held = key, parts
+                if len(u) > 10_000:
+                    yield made()
+        settle(*held)
+        yield made()
+
+    sent = dealt.mapInArrow(send, "bits int, prefix long, fps binary")
+    # Not coalesced: a prefix is a few messages, but millions of variants.
+    met = sent.repartition(max(1, min(1 << first, 1 + n // 4096)), "bits", "prefix").sortWithinPartitions("bits", "prefix")
+    return met.mapInArrow(meet, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -238,9 +293,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", shingle: int = SHINGLE,
 
 def _components_of(narrow: DataFrame, radius: int) -> DataFrame:
     nodes = stored(narrow.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprint-nodes")
-    linked, made_from = links(nodes.select("fp"), nodes.count(), radius)
-    found = components(linked)
-    discard(*made_from)
+    found = components(links(nodes.select("fp"), nodes.count(), radius))
     rooted = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     # Most components are one fingerprint; the minimum needs a shuffle of nodes, not of documents.
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))

@@ -99,7 +99,11 @@ def _components(fps):
     return [root(i) for i in range(len(fps))]
 
 
-def test_links_join_exactly_the_balls(spark):
+@pytest.mark.parametrize("how", [{}, {"crowd": 4, "heavy": 40}])
+def test_links_join_exactly_the_balls(spark, monkeypatch, how):
+    """Also with prefixes split again and again, down to single variants, and with tiny leaves."""
+    if how:
+        monkeypatch.setattr(simhash, "LEAF", 50)
     rng = random.Random(2)
     fps = {0, (1 << 64) - 1}
     for _ in range(60):
@@ -111,7 +115,7 @@ def test_links_join_exactly_the_balls(spark):
     fps = sorted(fps)
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     df = spark.createDataFrame([(f,) for f in signed], "fp long")
-    made, _ = simhash.links(df, len(fps))
+    made = simhash.links(df, len(fps), **how)
     found = {r.node: r.root for r in components.components(made).collect()}
     want = _components(fps)
     groups: dict = {}
@@ -125,11 +129,29 @@ def test_links_join_exactly_the_balls(spark):
         simhash.links(df, len(fps), radius=3)
 
 
-def test_keys_pack_and_unpack():
-    rng = np.random.default_rng(0)
-    for n in (0, 1, 5, 3000):
-        keys = np.sort(rng.integers(0, 1 << 45, n, dtype=np.uint64))
-        assert (simhash.unpack(simhash.pack(keys)) == keys).all()
+def test_masks_are_all_of_few_bits():
+    for bits in (0, 1, 2, 5, 8):
+        for most in range(4):
+            want = sorted(m for m in range(1 << bits) if m.bit_count() <= most)
+            assert sorted(simhash.masks(bits, most).tolist()) == want
+    assert len(simhash.masks(64, 2)) == 2081
+
+
+def test_a_crowd_of_near_fingerprints_is_split(spark):
+    rng, centre = random.Random(8), random.Random(9).getrandbits(63)
+    fps = {centre}
+    while len(fps) < 300:  # all within 4 bits of one centre: one group, crowded on a few prefixes
+        fps.add(centre ^ sum(1 << b for b in rng.sample(range(63), rng.randint(1, 4))))
+    df = spark.createDataFrame([(f,) for f in sorted(fps)], "fp long")
+    found = components.components(simhash.links(df, len(fps), heavy=150))
+    assert [tuple(r) for r in found.groupBy("root").count().collect()] == [(min(fps), 300)]
+
+
+def test_very_long_and_repeated_texts_link(spark):
+    text = " ".join(f"w{i}" for i in range(30_000))
+    rows = [(1, text, "en", "a", 1), (2, text + " tail", "en", "a", 1), (3, "something else altogether here now", "en", "a", 1), (2, text + " tail", "en", "a", 1)]
+    got = sorted((r.doc_id, r.component_id) for r in simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [(1, 1), (2, 1), (2, 1), (3, 3)]
 
 
 def test_components_of_a_long_path(spark):
