@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -48,6 +49,30 @@ def test_removed_lines_equal_brute_force(spark):
         assert texts[doc_id] == "\n".join(x for i, x in enumerate(text.split("\n")) if i not in want.get(doc_id, []))
 
 
+def test_hot_tokens_and_long_lines_equal_brute_force(spark, monkeypatch):
+    """Groups of near copies whose tokens are hot, some settled at first and some in the index."""
+    monkeypatch.setattr(line_dedup, "HOT", 3)
+    rng = random.Random(11)
+    base = [[f"t{i}w{j}" for j in range(30)] for i in range(3)]
+    rows = []
+    for doc_id in range(90):
+        line = list(rng.choice(base))
+        for _ in range(rng.randint(0, 5)):
+            line[rng.randrange(len(line))] = rng.choice(["common", "usual", f"own{doc_id}", f"n{rng.randint(0, 40)}"])
+        del line[: rng.choice([0, 0, 0, 1, 3, 6])]
+        rows.append((doc_id, " ".join(line), "en", "a", 1))
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert {r.doc_id: list(r.removed) for r in line_dedup.removed_lines(df).collect()} == _removed([r[:2] for r in rows])
+
+
+def test_lines_of_one_template_cost_their_number(spark):
+    """Lines that share all words but one rare one and are not similar: no pair of them is looked at."""
+    rows = [(i, "\n".join(f"Chapter {100 * i + j} of the book" for j in range(100)), "en", "a", 1) for i in range(1000)]
+    began = time.time()
+    report = line_dedup.line_report(spark.createDataFrame(rows, SCHEMA)).agg({"n_removed": "sum", "n_lines": "sum"}).first()
+    assert sorted(report.asDict().values()) == [0, 100_000] and time.time() - began < 120
+
+
 def test_line_report_takes_awkward_rows(spark, monkeypatch):
     docs = documents(spark)
     rows = line_dedup.line_report(docs).collect()
