@@ -22,13 +22,25 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/glyphspark-{label}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back.
+#: Bytes of a source for each file of the tables that are made from it.
+FILE_BYTES = 32 << 20
+
+
+def file_count(source: DataFrame) -> int:
+    """Files (and tasks of the last stage) for a table made from ``source``: one a core or more, and more
+    as the source grows. A small table over hundreds of partitions would be as many tiny files, for each of
+    which the file system's calls cost more than its rows."""
+    size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(source.sparkSession.sparkContext.defaultParallelism, min(size // FILE_BYTES, 1 << 20))
+
+
+def stored(df: DataFrame, label: str, files: int | None = None) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder, in at most ``files`` files, and read it back.
 
     Cuts the lineage: what is read later survives the loss of any executor.
     """
     path = fresh_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
+    (df if files is None else df.coalesce(files)).write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._glyph_path = path
     return out

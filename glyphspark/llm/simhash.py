@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import discard, map_arrow, stored, utf8
+from ._common import discard, file_count, map_arrow, stored, utf8
 from .components import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -287,12 +287,13 @@ def links(distinct: DataFrame, n: int, radius: int = RADIUS, crowd: int = CROWD,
 
 def near_duplicates(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
-    narrow = stored(fingerprints(docs, text, shingle), "fingerprints")
-    return _components_of(narrow, radius).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    files = file_count(docs)
+    narrow = stored(fingerprints(docs, text, shingle), "fingerprints", files)
+    return _components_of(narrow, radius, files).coalesce(files).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _components_of(narrow: DataFrame, radius: int) -> DataFrame:
-    nodes = stored(narrow.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprint-nodes")
+def _components_of(narrow: DataFrame, radius: int, files: int) -> DataFrame:
+    nodes = stored(narrow.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprint-nodes", files)
     found = components(links(nodes.select("fp"), nodes.count(), radius))
     rooted = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     # Most components are one fingerprint; the minimum needs a shuffle of nodes, not of documents.
@@ -304,19 +305,20 @@ def _components_of(narrow: DataFrame, radius: int) -> DataFrame:
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row of each component, columns unchanged: that of the smallest doc_id (nulls last), of its
     texts the one of the smallest hash, of equal rows any."""
-    narrow = stored(fingerprints(docs), "fingerprints")
+    files = file_count(docs)
+    narrow = stored(fingerprints(docs), "fingerprints", files)
     key = ("doc_id", "text_hash")
     first = Window.partitionBy("root").orderBy(F.col("doc_id").asc_nulls_last(), "text_hash")
-    grouped = stored(_components_of(narrow, radius).select(*key, "root"), "fingerprint-groups")
-    chosen = stored(grouped.withColumn("_at", F.row_number().over(first)).where("_at = 1").select(*key), "fingerprint-chosen")
+    grouped = stored(_components_of(narrow, radius, files).select(*key, "root"), "fingerprint-groups", files)
+    chosen = stored(grouped.withColumn("_at", F.row_number().over(first)).where("_at = 1").select(*key), "fingerprint-chosen", files)
     same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.text_hash") == F.col(f"{b}.text_hash"))
     discard(narrow)
-    dropped = stored(grouped.alias("g").join(chosen.alias("c"), same("g", "c"), "left_anti").select(*key).distinct(), "fingerprint-dropped")
+    dropped = stored(grouped.alias("g").join(chosen.alias("c"), same("g", "c"), "left_anti").select(*key).distinct(), "fingerprint-dropped", files)
     names = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), "doc_id", _text_hash("text"))
     few = F.broadcast(dropped) if dropped.count() <= MAX_BROADCAST_KEYS else dropped
     kept = rows.alias("r").join(few.alias("d"), same("r", "d"), "left_anti")
-    twice = stored(grouped.groupBy(*key).count().where("count > 1").select(*key).alias("t").join(chosen.alias("c"), same("t", "c"), "left_semi"), "fingerprint-twice")
+    twice = stored(grouped.groupBy(*key).count().where("count > 1").select(*key).alias("t").join(chosen.alias("c"), same("t", "c"), "left_semi"), "fingerprint-twice", files)
     if twice.isEmpty():
         return kept.select("_row.*")
     # Equal rows of a chosen key: one of them stays.

@@ -30,7 +30,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import fresh_path, slices, stored, utf8
@@ -212,7 +212,15 @@ def write_token_files(
         .repartitionByRange(F.col("doc_id").asc_nulls_last(), F.xxhash64("raw"))
         .sortWithinPartitions(F.col("doc_id").asc_nulls_last(), F.xxhash64("raw"), "raw")
     )
-    return stored(in_order.mapInArrow(run, "file_no long, path string, n_docs long, n_tokens long"), "token-manifest")
+    # One short row for each file: gathered, so that the manifest is not as many files again.
+    return stored(in_order.mapInArrow(run, "file_no long, path string, n_docs long, n_tokens long").repartition(1), "token-manifest")
+
+
+def task_count(manifest: DataFrame, size: str | Column) -> int:
+    """Tasks that read the files of a manifest: no more than files, no fewer than cores or than a task for
+    every 32 million of ``size``."""
+    files, total = manifest.agg(F.count(F.lit(1)), F.sum(size)).first()
+    return max(1, min(files, max(2 * manifest.sparkSession.sparkContext.defaultParallelism, (total or 0) >> 25)))
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
@@ -238,7 +246,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                         )
 
     # A number of its own: the manifest is small, but each of its rows is a file to read.
-    return files.repartition(max(1, manifest.count())).mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return files.repartition(task_count(manifest, "n_tokens")).mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def read_documents(path: str, doc_ids: Iterable[int]) -> dict[int, list[np.ndarray]]:
