@@ -49,9 +49,9 @@ def test_removed_lines_equal_brute_force(spark):
         assert texts[doc_id] == "\n".join(x for i, x in enumerate(text.split("\n")) if i not in want.get(doc_id, []))
 
 
-def test_hot_tokens_and_long_lines_equal_brute_force(spark, monkeypatch):
-    """Groups of near copies whose tokens are hot, some settled at first and some in the index."""
-    monkeypatch.setattr(line_dedup, "HOT", 3)
+def test_groups_of_near_lines_equal_brute_force(spark, monkeypatch):
+    """Groups of near copies, some settled at first and some in the index."""
+    monkeypatch.setattr(line_dedup, "EARLY", 1)
     rng = random.Random(11)
     base = [[f"t{i}w{j}" for j in range(30)] for i in range(3)]
     rows = []
