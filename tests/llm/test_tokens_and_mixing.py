@@ -154,3 +154,21 @@ def test_mix_emits_what_the_plan_says(spark, monkeypatch):
     assert sorted(mixing.mix(docs).select("doc_id").collect(), key=str) == sorted(mixed.select("doc_id").collect(), key=str)
     assert sorted(mixing.mixing_plan(docs).collect(), key=str) == sorted(rows, key=str)
     assert mixing.mixing_plan(docs.limit(0)).collect() == [] and mixing.mix(docs.limit(0)).collect() == []
+
+
+def test_a_source_of_one_repeated_row_meets_its_target(spark):
+    rows = [(1, "one two three", "en", "a", 1)] * 900 + [(2, "four five", "en", "b", 1)] * 40 + [(i, "six seven", "en", "b", 1) for i in range(10, 400)]
+    docs = documents(spark, rows)
+    plan = mixing.mixing_plan(docs).collect()
+    assert len(plan) == len(rows)
+    for source in "ab":
+        mine = [r for r in plan if r.source == source]
+        assert abs(sum(r["size"] * r.copies for r in mine) - mine[0].target) < 0.1 * mine[0].target
+        assert all(abs(r.copies - r.rate) < 1 for r in mine)
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in plan)
+    taken = {}
+    for r in plan:
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + r.copies
+    assert {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()} == {i: n for i, n in taken.items() if n}
+    assert sorted(map(str, mixing.mixing_plan(docs).collect())) == sorted(map(str, plan))
