@@ -6,8 +6,9 @@ document's score is the sum of log(target / raw) over all its n-grams, divided b
 ``SHRINK``; it is kept if it passes the base rules and its score is at least ``THRESHOLD``. No chance
 is involved: equal texts get equal verdicts.
 
-A null or empty text has no words and fails the base rules. Rows are independent, so ties and repeated
-rows need no care; an empty table gives an empty one; without trusted rows the target equals the raw
+A null or empty text has no words and fails the base rules; very long texts are read whole. Rows are
+independent, so ties and repeated rows need no care (a score equal to the threshold is kept, trusted
+documents of equal hashes follow in the order of their ids); an empty table gives an empty one; without trusted rows the target equals the raw
 corpus and only the base rules speak. Columns other than doc_id and text are not looked at, whatever
 their names; ``keep_good`` passes them on.
 """
@@ -136,16 +137,15 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     """The rows of ``docs`` that pass, every column unchanged; fitted on ``docs`` itself."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
-    @F.pandas_udf("boolean")
-    def passes(texts):
-        import pandas as pd
-
+    @F.arrow_udf("boolean")
+    def passes(texts: pa.Array) -> pa.Array:
         out = []
-        for raw in texts:
-            n, _, _, _, rep = base_counts(raw)
-            grams = ngram_buckets(raw)
-            score = float(shared.value[grams].sum()) / (len(grams) + SHRINK)
-            out.append(n >= 20 and 100 * rep <= 30 * n and score >= threshold)
-        return pd.Series(out, dtype=bool)
+        for at in range(0, len(texts), 256):  # Python objects of few texts live at a time
+            for raw in texts.slice(at, 256).to_pylist():
+                n, _, _, _, rep = base_counts(raw)
+                grams = ngram_buckets(raw)
+                score = float(shared.value[grams].sum()) / (len(grams) + SHRINK)
+                out.append(n >= 20 and 100 * rep <= 30 * n and score >= threshold)
+        return pa.array(out, pa.bool_())
 
     return docs.where(passes(utf8("text")))
