@@ -1,13 +1,16 @@
 """WARC archives: writing pages and a sequential reader.
 
 Each record is one gzip member. The reader inflates incrementally, finds the ends of members by the
-inflater's leftover, frames records by Content-Length and verifies block and payload digests.
+inflater's leftover, frames records by Content-Length and verifies block and payload digests as the bytes
+go by. It holds a record's headers and, if payloads are wanted, the payload; a record that is cut off, runs
+on or does not match its digests is an error, wherever the file ends.
 
 Of pages with equal payloads of at least ``min_bytes`` bytes, the one with the smallest page_id (nulls
 last) is a response and the others are revisits, whose records hold the HTTP headers (with the full
 payload's length) but no payload. Rows that repeat the smallest page_id are all responses. A null html
-is an empty payload. Smaller payloads are always responses. An empty table gives no archive and no
-row. Only page_id, url and html are read; a null url is written as an empty target.
+is an empty payload; very long ones are written whole. Smaller payloads are always responses. An empty
+table gives no archive and no row. Only page_id, url and html are read, whatever other columns are named; a
+null url is written as an empty target.
 
 Payloads are compared by SHA-1 and length. Pages are spread over files by page hash, so one very
 frequent page does not fill one file.
@@ -26,13 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import fresh_path, slices, stored, utf8
-from .token_files import _filesystem
+from .token_files import _filesystem, task_count
 
 _CRLF = b"\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Pieces that one digest's pages are spread over in the join with the table of repeated digests.
 _SALTS = 32
-_READ = 1 << 18
+#: Bytes read at once, bytes inflated at once, bytes that headers may have.
+_READ, _STEP, _HEADERS = 1 << 18, 1 << 14, 1 << 20
 
 
 def digest(data: bytes) -> str:
@@ -62,50 +66,103 @@ def record(page_id: int | None, url: str, payload: bytes, refers_to: int | None,
     return packer.compress(head.encode() + block + _CRLF + _CRLF) + packer.flush()
 
 
-def members(f) -> Iterator[bytes]:
-    """Plain bytes of each gzip member of a file object, read in order."""
-    inflater, held, rest = zlib.decompressobj(31), [], b""
-    while data := rest or f.read(_READ):
-        held.append(inflater.decompress(data))
-        rest = b""
-        if inflater.eof:
-            yield b"".join(held)
-            rest, inflater, held = inflater.unused_data, zlib.decompressobj(31), []
-    if any(held):
-        raise ValueError("the last gzip member is cut off")
-
-
-def parse(plain: bytes) -> tuple[dict[str, str], bytes]:
-    """Header fields and block of a record; framing and block digest are verified."""
-    head, blank, body = plain.partition(_CRLF + _CRLF)
-    lines = head.decode("utf-8", "replace").split("\r\n")
-    if not blank or not lines[0].startswith("WARC/1."):
-        raise ValueError("not a WARC record")
-    fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
-    size = int(fields["content-length"])
-    if body[size:] != _CRLF + _CRLF:
-        raise ValueError("the record does not end where its Content-Length says")
-    block = body[:size]
-    if fields.get("warc-block-digest", "sha1:" + digest(block)) != "sha1:" + digest(block):
-        raise ValueError("the block does not match its digest")
-    return fields, block
-
-
-def read_records(f) -> Iterator[dict]:
-    """page_id, url, payload, payload_bytes, payload_digest, record_type and refers_to, in file order."""
-    for plain in members(f):
-        fields, block = parse(plain)
-        http, _, payload = block.partition(_CRLF + _CRLF)
-        stated = fields["warc-payload-digest"].removeprefix("sha1:")
-        kind, number = fields["warc-type"], lambda k: int(fields[k]) if fields.get(k) else None
+def members(f) -> Iterator[Iterator[bytes]]:
+    """Plain bytes of each gzip member of a file object, in pieces; a member is to be read to its end
+    before the next one."""
+    inflater, fed = zlib.decompressobj(31), False
+
+    def pieces(rest: bytes) -> Iterator[bytes]:
+        nonlocal inflater, fed, left
+        while True:
+            for at in range(0, len(rest), _STEP):  # small steps: what follows a member is copied
+                fed = True
+                plain = inflater.decompress(rest[at : at + _STEP])
+                if plain:
+                    yield plain
+                if inflater.eof:
+                    left = inflater.unused_data + rest[at + _STEP :]
+                    inflater, fed = zlib.decompressobj(31), False
+                    return
+            rest = f.read(_READ)
+            if not rest:
+                raise ValueError("the last gzip member is cut off")
+
+    left = f.read(_READ)
+    while left:
+        yield pieces(left)
+        if fed:
+            raise ValueError("a member was left before its end")
+        left = left or f.read(_READ)
+
+
+class Record:
+    """A record, fed with its bytes in pieces."""
+
+    def __init__(self, hold: bool):
+        self.hold, self.fields, self.http = hold, None, None
+        self.head, self.body, self.kept, self.left = bytearray(), bytearray(), [], 0
+        self.block, self.payload, self.payload_bytes = hashlib.sha1(), hashlib.sha1(), 0
+
+    def feed(self, data: bytes) -> None:
+        if self.fields is None:
+            self.head += data
+            end = self.head.find(_CRLF + _CRLF)
+            if end < 0:
+                if len(self.head) > _HEADERS or not b"WARC/1.".startswith(self.head[:7]):
+                    raise ValueError("not a WARC record")
+                return
+            lines = self.head[:end].decode("utf-8", "replace").split("\r\n")
+            if not lines[0].startswith("WARC/1."):
+                raise ValueError("not a WARC record")
+            self.fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
+            self.left = int(self.fields["content-length"])
+            data, self.head = bytes(self.head[end + 4 :]), bytearray()
+        block, after = data[: self.left], data[self.left :]
+        self.left -= len(block)
+        self.block.update(block)
+        if self.http is None:
+            self.body += block
+            end = self.body.find(_CRLF + _CRLF)
+            if end < 0:
+                if len(self.body) > _HEADERS:
+                    raise ValueError("no end of the HTTP headers")
+                block = b""
+            else:
+                self.http, block, self.body = bytes(self.body[:end]), bytes(self.body[end + 4 :]), bytearray()
+        self.payload.update(block)
+        self.payload_bytes += len(block)
+        if self.hold and block:
+            self.kept.append(block)
+        self.head += after
+        if len(self.head) > 4:
+            raise ValueError("the record does not end where its Content-Length says")
+
+    def row(self) -> dict:
+        """page_id, url, payload, payload_bytes, payload_digest, record_type and refers_to, once all is fed."""
+        if self.fields is None or self.left or self.head != _CRLF + _CRLF:
+            raise ValueError("the record does not end where its Content-Length says")
+        shown = lambda h: "sha1:" + base64.b32encode(h.digest()).decode()
+        fields, number = self.fields, lambda k: int(self.fields[k]) if self.fields.get(k) else None
+        if fields.get("warc-block-digest", shown(self.block)) != shown(self.block):
+            raise ValueError("the block does not match its digest")
+        stated, kind, size, payload = fields["warc-payload-digest"], fields["warc-type"], self.payload_bytes, None
         if kind == "revisit":
-            size = next(int(x.split(b":")[1]) for x in http.split(_CRLF) if x.lower().startswith(b"content-length:"))
-            payload = None
-        else:
-            size = len(payload)
-            if digest(payload) != stated:
-                raise ValueError("the payload does not match its digest")
-        yield {"page_id": number("x-page-id"), "url": fields.get("warc-target-uri"), "payload": payload, "payload_bytes": size, "payload_digest": stated, "record_type": kind, "refers_to": number("x-refers-to-page-id")}
+            size = next(int(x.split(b":")[1]) for x in (self.http or b"").split(_CRLF) if x.lower().startswith(b"content-length:"))
+        elif shown(self.payload) != stated:
+            raise ValueError("the payload does not match its digest")
+        elif self.hold:
+            payload = b"".join(self.kept)
+        return {"page_id": number("x-page-id"), "url": fields.get("warc-target-uri"), "payload": payload, "payload_bytes": size,
+                "payload_digest": stated.removeprefix("sha1:"), "record_type": kind, "refers_to": number("x-refers-to-page-id")}
+
+
+def read_records(f, payloads: bool = True) -> Iterator[dict]:
+    """A row (see ``Record.row``) for each record, in file order."""
+    for pieces in members(f):
+        record = Record(payloads)
+        for piece in pieces:
+            record.feed(piece)
+        yield record.row()
 
 
 def write_archives(pages: DataFrame, out_uri: str | None = None, min_bytes: int = 0) -> DataFrame:
@@ -140,7 +197,8 @@ def write_archives(pages: DataFrame, out_uri: str | None = None, min_bytes: int
         fs.move(mine, path)
         yield pa.RecordBatch.from_pylist([{"path": f"{out_uri}/{path.rpartition('/')[2]}", "n_records": n}])
 
-    return stored(typed.mapInArrow(run, "path string, n_records long"), "warc-manifest")
+    # One short row for each file: gathered, so that the manifest is not as many files again.
+    return stored(typed.mapInArrow(run, "path string, n_records long").repartition(1), "warc-manifest")
 
 
 def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
@@ -154,7 +212,7 @@ def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
                 fs, inner = _filesystem(path)
                 with fs.open_input_stream(inner, compression=None) as f:
                     held: list[dict] = []
-                    for r in read_records(f):
+                    for r in read_records(f, payloads):
                         held.append(r)
                         if len(held) == 64:
                             yield pa.RecordBatch.from_pylist(held, schema=schema)
@@ -163,4 +221,5 @@ def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
                         yield pa.RecordBatch.from_pylist(held, schema=schema)
 
     names = {"int64": "long", "string": "string", "binary": "binary"}
-    return manifest.select("path").repartition("path").mapInArrow(run, ", ".join(f"{x.name} {names[str(x.type)]}" for x in schema))
+    # A number of its own: the manifest is small, but each of its rows is a file to read.
+    return manifest.select("path").repartition(task_count(manifest, F.col("n_records") * 1024)).mapInArrow(run, ", ".join(f"{x.name} {names[str(x.type)]}" for x in schema))

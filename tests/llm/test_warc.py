@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 import io
+import zlib
 
 import pytest
 
@@ -33,7 +34,7 @@ def test_round_trip(spark):
 
 def test_records_are_single_gzip_members_and_verified():
     one, two = warc.record(1, "http://a/", b"hello", None), warc.record(2, "http://b/", b"hello", 1)
-    assert [len(gzip.decompress(x)) for x in (one, two)] == [len(x) for x in warc.members(io.BytesIO(one + two))]
+    assert [len(gzip.decompress(x)) for x in (one, two)] == [len(b"".join(x)) for x in warc.members(io.BytesIO(one + two))]
     found = list(warc.read_records(io.BytesIO(one + two)))
     assert [(r["page_id"], r["record_type"], r["payload_bytes"]) for r in found] == [(1, "response", 5), (2, "revisit", 5)]
     plain = gzip.decompress(one)
@@ -42,3 +43,24 @@ def test_records_are_single_gzip_members_and_verified():
             list(warc.read_records(io.BytesIO(gzip.compress(broken))))
     with pytest.raises(ValueError):
         list(warc.read_records(io.BytesIO(one[:-12])))
+
+
+def test_a_member_cut_anywhere_is_an_error():
+    one, two = warc.record(1, "http://a/", b"hello" * 50, None), warc.record(2, "http://b/", b"x" * 40_000, None)
+    assert list(warc.read_records(io.BytesIO(b""))) == []
+    for cut in [*range(1, len(two)), -1]:
+        with pytest.raises(ValueError):
+            list(warc.read_records(io.BytesIO(one + two[:cut])))
+    with pytest.raises((ValueError, zlib.error)):
+        list(warc.read_records(io.BytesIO(one + b"no gzip member at all")))
+
+
+def test_long_pages_are_read_in_pieces(monkeypatch):
+    monkeypatch.setattr(warc, "_READ", 100)
+    monkeypatch.setattr(warc, "_STEP", 7)
+    body = bytes(range(256)) * 2000 + b"\r\n\r\n" * 5
+    data = warc.record(1, "http://a/", body, None) + warc.record(2, "http://b/", body, 1) + warc.record(None, "", b"", None)
+    rows = list(warc.read_records(io.BytesIO(data)))
+    assert [r["payload"] for r in rows] == [body, None, b""] and [r["payload_bytes"] for r in rows] == [len(body), len(body), 0]
+    bare = list(warc.read_records(io.BytesIO(data), payloads=False))
+    assert [{**r, "payload": None} for r in rows] == bare
