@@ -11,8 +11,9 @@ and the queries that visit them are cut into blocks of bounded size, so a full o
 
 Vectors that are null or zero, hold null or non-finite components, have no id or another length than
 most take no part, neither as queries nor as candidates. Repeated rows count once. Ties go to the
-smaller id. Fewer candidates than k give fewer rows; an empty table gives an empty one. Only the two
-named columns are read.
+smaller id. Very long vectors are vectors like others, read in Arrow batches. Fewer candidates than k give
+fewer rows; an empty table gives an empty one. Only the two named columns are read, whatever others are
+named.
 """
 
 from __future__ import annotations
@@ -124,14 +125,17 @@ def _best(queries: np.ndarray, vectors: np.ndarray, firsts: np.ndarray, k: int,
 
 
 def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """vec_id, embedding, entry (hash of the vector) of the rows that take part."""
+    """vec_id, embedding, entry (128 bits of hash of the vector) of the rows that take part."""
+    # Two hashes of different seeds, -0.0 read as 0.0.
+    plain = F.transform("embedding", lambda x: x + F.lit(0).cast("float"))
+    entry = F.concat(F.hex(F.xxhash64(plain)), F.lit("-"), F.hex(F.xxhash64(F.lit(1), plain)))
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("embedding"))
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", fine) & F.exists("embedding", lambda x: x != 0))
     sizes = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
     if not sizes:
-        return rows.limit(0).withColumn("entry", F.xxhash64("embedding"))
-    return rows.where(F.size("embedding") == sizes[0].d).withColumn("entry", F.xxhash64(F.transform("embedding", lambda x: x + F.lit(0).cast("float"))))
+        return rows.limit(0).withColumn("entry", entry)
+    return rows.where(F.size("embedding") == sizes[0].d).withColumn("entry", entry)
 
 
 def search(vectors: DataFrame, is_query: Callable[[], Column], k: int = 20, recall: float = RECALL) -> DataFrame:
@@ -156,7 +160,7 @@ def search(vectors: DataFrame, is_query: Callable[[], Column], k: int = 20, reca
             yield pa.RecordBatch.from_arrays([pa.array(shared.value.file(_matrix(b.column(2)))), *b.columns], ["leaf", "entry", "ids", "v"])
 
     kind = entries.schema["v"].dataType.simpleString()
-    filed = stored(entries.select("entry", "ids", "v").mapInArrow(file, f"leaf long, entry long, ids array<long>, v {kind}"), "ann-filed")
+    filed = stored(entries.select("entry", "ids", "v").mapInArrow(file, f"leaf long, entry string, ids array<long>, v {kind}"), "ann-filed")
     asked = stored(queries.select("entry").distinct().join(entries.select("entry", "v"), "entry"), "ann-asked")
     visits = _calibrate(asked, filed, tree, k, recall)
 
@@ -178,7 +182,7 @@ def search(vectors: DataFrame, is_query: Callable[[], Column], k: int = 20, reca
                 [pa.array([x[0] for x in out], pa.int64()), b.column(0).take(at), b.column(1).take(at), pa.array([x[2] for x in out], pa.list_(pa.int64()))], ["shelf", "entry", "v", "leaves"]
             )
 
-    visiting = stored(asked.mapInArrow(visit, f"shelf long, entry long, v {kind}, leaves array<long>"), "ann-visits")
+    visiting = stored(asked.mapInArrow(visit, f"shelf long, entry string, v {kind}, leaves array<long>"), "ann-visits")
     asks = {r.shelf: -(-r["count"] // ASKS) for r in visiting.groupBy("shelf").count().collect()}  # a row for each shelf
     rows_in = np.bincount(shelf_of, [sizes[i] for i in range(tree.leaves)])
     blocks = {"rows": [max(1, -(-int(n) // SHELF)) for n in rows_in], "asks": [asks.get(i, 1) for i in range(len(rows_in))]}
@@ -188,7 +192,7 @@ def search(vectors: DataFrame, is_query: Callable[[], Column], k: int = 20, reca
     left = filed.withColumn("shelf", F.get(F.lit([int(x) for x in shelf_of]), F.col("leaf").cast("int")).cast("long"))
     left = left.withColumn("a", own("rows").cast("long")).withColumn("b", every("asks"))
     right = visiting.withColumn("b", own("asks").cast("long")).withColumn("a", every("rows"))
-    schema = pa.schema([("ask", pa.int64()), ("entry", pa.int64()), ("ids", pa.list_(pa.int64())), ("score", pa.float64())])
+    schema = pa.schema([("ask", pa.string()), ("entry", pa.string()), ("ids", pa.list_(pa.int64())), ("score", pa.float64())])
 
     def compare(rows: pa.Table, asks: pa.Table) -> pa.Table:
         if not rows.num_rows or not asks.num_rows:
@@ -212,7 +216,7 @@ def search(vectors: DataFrame, is_query: Callable[[], Column], k: int = 20, reca
         return pa.Table.from_arrays([asks["entry"].take(pa.array(q)), rows["entry"].take(pick), rows["ids"].take(pick), pa.array(score)], schema=schema)
 
     by = ("shelf", "a", "b")
-    met = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(compare, "ask long, entry long, ids array<long>, score double")
+    met = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(compare, "ask string, entry string, ids array<long>, score double")
     top = Window.partitionBy("ask").orderBy(F.desc("score"), F.col("ids")[0])
     best = met.withColumn("_at", F.row_number().over(top)).where(F.col("_at") <= k + 1).select("ask", "score", F.explode("ids").alias("vec_id"))
     nearest = Window.partitionBy("ask").orderBy(F.desc("score"), "vec_id")
@@ -224,23 +228,28 @@ def search(vectors: DataFrame, is_query: Callable[[], Column], k: int = 20, reca
 
 def _calibrate(asked: DataFrame, filed: DataFrame, tree: Tree, k: int, recall: float) -> int:
     """Leaves to visit, so that the sampled queries find ``recall`` of their true neighbours."""
-    chosen = asked.orderBy(F.xxhash64("entry", F.lit(3)), "entry").limit(CALIBRATION).select("v").toArrow()
+    chosen = asked.orderBy(F.xxhash64("entry", F.lit(3)), "entry").limit(CALIBRATION).select("entry", "v").toArrow()
     if not chosen.num_rows or tree.leaves == 1:
         return tree.leaves
-    queries = _matrix(chosen["v"])
-    shared = asked.sparkSession.sparkContext.broadcast(queries)
+    queries, own = _matrix(chosen["v"]), np.array(chosen["entry"].to_pylist(), object)
+    shared = asked.sparkSession.sparkContext.broadcast((queries, own))
 
     def scan(batches):
         for b in batches:
             firsts = b.column(1).offsets.to_numpy()
             ids = b.column(1).values.to_numpy()[firsts[:-1]] if b.num_rows else np.empty(0, np.int64)
             if b.num_rows:
-                q, v, score = _best(shared.value, _matrix(b.column(2)), ids, k)
+                asks, own = shared.value
+                q, v, score = _best(asks, _matrix(b.column(2)), ids, k + 1)
+                other = np.array(b.column(3).to_pylist(), object)[v] != own[q]  # a query does not look for itself
+                q, v, score = q[other], v[other], score[other]
                 yield pa.RecordBatch.from_arrays([pa.array(q), b.column(0).take(pa.array(v)), pa.array(score), pa.array(ids[v])], ["q", "leaf", "score", "first"])
 
-    found = filed.select("leaf", "ids", "v").mapInArrow(scan, "q long, leaf long, score double, first long")
+    found = filed.select("leaf", "ids", "v", "entry").mapInArrow(scan, "q long, leaf long, score double, first long")
     top = Window.partitionBy("q").orderBy(F.desc("score"), "first")
     truth = found.withColumn("_at", F.row_number().over(top)).where(F.col("_at") <= k).select("q", "leaf").collect()  # k * CALIBRATION rows
+    if not truth:
+        return tree.leaves
     order = [{leaf: i for i, leaf in enumerate(tree.visit(q, tree.leaves))} for q in queries]
     needed = np.sort([order[r.q][r.leaf] + 1 for r in truth])
     return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)])

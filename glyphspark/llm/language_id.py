@@ -5,33 +5,38 @@ last (nearest to the text). A text is reduced to lower-case letters and blanks,
 piece is compressed with every dictionary; the language of the smallest total wins, ties going to the
 smaller name. The score is a soft share of the winner; ``rejected`` marks narrow margins.
 
-A text that is null or has no letter is ``und`` with score 0, as is every text if nothing was learned.
-Texts are scored alone, so repeated rows score alike; an empty table gives an empty one. Only doc_id,
-text and (for learning) lang are read, so extra columns do no harm.
+A text that is null or has no letter (Unicode category L; digits, fractions and Roman numeral signs are
+none) is ``und`` with score 0, as is every text if nothing was learned. Very long texts are scored whole, in
+pieces; a word too long for a dictionary is in none. Texts are scored alone, so repeated rows score alike,
+and equal rows are learned from once; an empty table gives an empty one. Only doc_id, text and (for
+learning) lang are read, so extra columns do no harm, whatever their names.
 """
 
 from __future__ import annotations
 
-import re
-
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import map_arrow, utf8
 
-#: Labelled documents that dictionaries are made from: at most so many of a language and in all.
+#: Labelled documents that dictionaries are made from: about so many of a language and in all, those whose
+#: hashes are below a bound that follows from the language's number of documents.
 SAMPLE_PER_LANGUAGE, SAMPLE = 2_000, 200_000
 DICTIONARY_BYTES = 32_000
 PIECE_BYTES = 1_000
 LEVEL = 6
 #: A text is rejected if its score is below this.
 NARROW = 0.6
-_OTHER = re.compile(r"[\W\d_]+")
+#: Parts in which a language's words are ranked before all of them are.
+_PARTS = 64
+_LETTER, _OTHER = regex.compile(r"\p{L}"), regex.compile(r"[^\p{L}\p{M}]+")
 
 
 def letters_only(text: str) -> bytes:
-    return f" {_OTHER.sub(' ', text.lower()).strip()} ".encode()
+    """Lower-case letters (with their marks) and single blanks; blanks alone if there is no letter."""
+    return f" {_OTHER.sub(' ', text.lower()).strip()} ".encode() if _LETTER.search(text) else b" "
 
 
 def fold(doc_id: str = "doc_id", mod: int = 3) -> Column:
@@ -41,24 +46,29 @@ def fold(doc_id: str = "doc_id", mod: int = 3) -> Column:
 def learn(docs: DataFrame) -> dict[str, bytes]:
     """Dictionary of every language in ``docs`` (training rows only are to be passed)."""
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL")
-    n = known.agg(F.count_distinct("lang")).first()[0]
-    if not n:
+    key = F.xxhash64("doc_id", "text")
+    sizes = [tuple(r) for r in known.groupBy("lang").agg(F.approx_count_distinct(key, 0.02).alias("n")).collect()]  # a row for each language
+    if not sizes:
         return {}
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = known.select("doc_id", "lang").distinct().withColumn("_at", F.row_number().over(first)).where(F.col("_at") <= min(SAMPLE_PER_LANGUAGE, max(1, SAMPLE // n)))
-    sample = known.select("doc_id", "lang", utf8("text").alias("raw")).join(F.broadcast(picked.select("doc_id", "lang")), ["doc_id", "lang"])  # at most SAMPLE ids
+    wanted = min(SAMPLE_PER_LANGUAGE, max(1, SAMPLE // len(sizes)))
+    bounds = docs.sparkSession.createDataFrame([(lang, wanted / max(1, n)) for lang, n in sizes], "lang string, bound double")
+    u = F.shiftrightunsigned(key, 11) / float(1 << 53)
+    sample = known.withColumn("_u", u).join(F.broadcast(bounds), "lang").where("_u < bound").select("lang", utf8("text").alias("raw")).distinct()
 
     def run(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {"lang": [], "word": []}
         for lang, raw in zip(batch.column("lang").to_pylist(), batch.column("raw").to_pylist(), strict=True):
-            words = sorted({w for w in letters_only(raw.decode("utf-8", "replace")).decode().split() if len(w) < 100})
+            words = sorted(set(letters_only(raw.decode("utf-8", "replace")).decode().split()))
             out["lang"] += [lang] * len(words)
             out["word"] += words
         return out
 
-    counts = map_arrow(sample.select("lang", "raw"), "lang string, word string", run).groupBy("lang", "word").count()
-    best = Window.partitionBy("lang").orderBy(F.desc("count"), "word")
-    top = counts.withColumn("at", F.row_number().over(best)).where(F.col("at") <= DICTIONARY_BYTES // 2).orderBy("lang", "at")
+    counts = map_arrow(sample, "lang string, word string", run).where(F.octet_length("word") < DICTIONARY_BYTES).groupBy("lang", "word").count()
+    # The first words of each part of a language hold the first of all; so no task ranks all its words.
+    order = [F.desc("count"), F.col("word").asc()]
+    most, part = DICTIONARY_BYTES // 2, F.pmod(F.xxhash64("word"), F.lit(_PARTS)).alias("_part")
+    parts = counts.withColumn("_part", part).withColumn("at", F.row_number().over(Window.partitionBy("lang", "_part").orderBy(*order))).where(F.col("at") <= most)
+    top = parts.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("at") <= most).orderBy("lang", "at")
     chosen: dict[str, list[bytes]] = {}
     room: dict[str, int] = {}
     for r in top.select("lang", "word").toLocalIterator():  # DICTIONARY_BYTES / 2 words of a language at most

@@ -185,3 +185,90 @@ def test_search_takes_few_and_no_rows(spark):
     rows = ann_tree.search(df, lambda: F.col("vec_id") % 2 == 0).collect()
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in rows] == [(0, 1, 1, 0.5)]
     assert ann_tree.search(df.limit(0), lambda: F.col("vec_id") == 0).collect() == []
+
+
+def test_default_recall_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 16))
+    vectors = {i: (centres[rng.integers(40)] + 0.4 * rng.normal(size=16)).astype(np.float32) for i in range(6000)}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "vec_id long, embedding array<float>")
+    got: dict = {}
+    for r in ann_tree.search(df, lambda: F.col("vec_id") % 40 == 0).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
+    every = np.stack([vectors[i] for i in range(6000)]).astype(np.float64)
+    hits = 0
+    for q in range(0, 6000, 40):
+        score = every @ every[q]
+        score[q] = -np.inf
+        hits += len(set(np.argsort(-score)[:20].tolist()) & set(got[q].values()))
+    assert sorted(got) == list(range(0, 6000, 40)) and hits >= 0.9 * 20 * 150
+
+
+# ---- samples, held-out accuracy
+
+
+def test_no_window_over_labels_or_all_words(spark, monkeypatch):
+    """What toxicity learns from is taken by a bound on a hash."""
+    docs = documents(spark)
+    marks = spark.createDataFrame([(i, 1, i % 2) for i in range(9)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels: seen.append((texts, labels.tolist())))
+    toxicity.fit(docs, marks)
+    taken = [(d, t) for d, t, *_ in dict.fromkeys(DOCS) if d is not None and zlib.crc32(str(d).encode()) % 5]
+    assert len(seen[0][0]) == len(taken) and sorted(seen[0][0]) == sorted((t or "").encode() for _, t in taken)
+    assert toxicity._spread(b"w " * 20_000).count(b"w") == toxicity.TRAIN_WORDS and toxicity._spread(b" a  b ") == b" a  b "
+
+
+def test_toxic_documents_held_out(spark):
+    """Held-out documents of sf0.01, by the registered query."""
+    from glyphspark.llm import queries as llm
+
+    sf = "/root/testdata/sf0.01"
+    rows = {r.doc_id: r for r in llm.op4_toxicity(spark, sf).collect()}
+    marks = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").where("toxic IS NOT NULL").collect() if r.doc_id in rows and rows[r.doc_id].held_out}
+    good = np.array([rows[i].score for i, y in marks.items() if y])
+    bad = np.array([rows[i].score for i, y in marks.items() if not y])
+    assert len(rows) == 1000 and all((r.score >= 0.5) == r.predicted and r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in rows.items())
+    assert np.mean([(g > bad).mean() for g in good]) > 0.85 and (bad >= 0.5).mean() < 0.1
+
+
+def test_language_of_held_out_documents(spark):
+    from glyphspark.llm import queries as llm
+
+    sf = "/root/testdata/sf0.01"
+    rows = llm.op7_language_id(spark, sf).collect()
+    langs = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    held = [r for r in rows if r.held_out and langs[r.doc_id] and r.lang_pred != "und"]
+    assert len(rows) == 1000 and np.mean([r.lang_pred == langs[r.doc_id] for r in held]) > 0.97
+
+
+def test_letters_and_ties_of_languages():
+    same = language_id.Classifier({"bb": b" one two ", "aa": b" one two "})
+    for text in ("", "½ ² Ⅷ 12 _ !", "٣", "\u0301"):
+        assert same(text) == ("und", 0.0, True)
+    assert same("one two")[0] == "aa" and same("one two")[1] == 0.5 and same("one two")[2]
+    assert language_id.letters_only("A1é½ bé") == " a é bé ".encode()
+
+
+def test_verdict_equals_brute_force(spark):
+    """Score and verdict of the quality operator from counts made by hand, ties kept."""
+    rng = random.Random(6)
+    rows = [(i, _words(rng, "aeionrst" if i % 3 else "xyz*#", rng.choice([5, 40, 200])), "en", "a", 1) for i in range(60)]
+    rows += [(100, rows[1][1], "en", "a", 1), (101, "", "en", "a", 1), (102, None, "en", "a", 1), (103, "word " * 30, "en", "a", 1)]
+    docs, marks = documents(spark, rows), spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(0, 60, 2)], "doc_id long, quality int, toxic int")
+    counts = np.zeros((2, quality.BUCKETS))
+    for i, t, *_ in rows:
+        for g in quality.ngram_buckets((t or "").encode()):
+            counts[0, g] += 1
+            counts[1, g] += i < 60 and i % 2 == 0 and i % 3 > 0
+    raw = (counts[0] + 1) / (counts[0].sum() + quality.BUCKETS)
+    ratio = np.log((counts[1] + quality.PRIOR * raw) / (counts[1].sum() + quality.PRIOR) / raw)
+    got = {r.doc_id: r for r in quality.judge(docs, quality.fit(docs, marks), threshold=0.0).collect()}
+    for i, t, *_ in rows:
+        grams = quality.ngram_buckets((t or "").encode())
+        want = sum(ratio[g] for g in grams) / (len(grams) + quality.SHRINK)
+        assert abs(got[i].score - want) < 1e-9 and got[i].kept == (not got[i].base_failed and got[i].score >= 0.0)
+        assert got[i].base_failed == (len((t or "").split()) < 20 or i == 103)
+    assert got[100].score == got[1].score and got[100].kept == got[1].kept
+    tie = quality.judge(docs, quality.fit(docs, marks), threshold=got[1].score).where("doc_id = 1").first()
+    assert tie.kept == (not tie.base_failed)

@@ -33,3 +33,24 @@ def test_run_equals_the_stages_by_hand(spark, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted((r.doc_id, r.decoded_sha256) for r in got.collect()) == want
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_deduplication", "near_deduplication", "source_mixing", "byte_bpe_coding"]
+
+
+def test_run_takes_empty_tables_repeated_ids_and_clashing_names(spark, tmp_path):
+    schema = SCHEMA + ", size string, pos string, fp string, _row string, h string"
+    text = lambda i: "\n".join(" ".join(f"w{i}x{j}y{k}" for k in range(12)) for j in range(4))
+    rows = [(i, text(i), "en", "a", 1, "s", "p", "f", "r", "h") for i in range(30)]
+    rows += [rows[3], rows[3], (4, text(99), "en", None, 1, "s", "p", "f", "r", "h"), (None, text(77), None, "b", 1, *"spfrh"), (5, None, None, None, None, *"spfrh"), (6, "", "en", "a", 0, *"spfrh")]
+    for name, part in (("some", rows), ("none", [])):
+        spark.createDataFrame(part, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    docs, kept = spark.read.parquet(f"{tmp_path}/some/documents.parquet"), None
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, f"{tmp_path}/some")
+        assert docs.columns == [c.split()[0] for c in schema.split(", ")]
+        kept = docs if name == "near_deduplication" else kept
+        docs.write.parquet(f"{tmp_path}/some/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/some/{name}")
+    ids = sorted((r.doc_id for r in spark.read.parquet(f"{tmp_path}/some/near_deduplication").collect()), key=str)
+    assert ids == sorted([*range(30), 4, None], key=str)
+    assert {r.doc_id for r in corpus_pipeline.run(spark, f"{tmp_path}/some").collect()} <= {*range(30), None}
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
