@@ -33,11 +33,11 @@ def probes(max_k: int) -> tuple[int, ...]:
     return tuple(sorted({k for k in (1, 2, 4, 8, min(16, max_k), max_k) if k <= max_k}))
 
 
-def adaptive_orders(corpus: Corpus, k_max: int, patience: int = 2, gate: float = 0.3) -> DataFrame:
+def adaptive_orders(corpus: Corpus, k_max: int, patience: int = 2, gate: float = 0.3, n: int = 1000, alpha: float = 0.05, table: DataFrame | None = None) -> DataFrame:
     """step, k, mean_gradient of the orders that the scheduler asks for."""
-    table = corpus.surprisal().where("n_sum > 0")
+    table = (corpus.surprisal() if table is None else table).where("n_sum > 0")
     rows = table.select("ch", "k", (F.col("sum_surp") / F.col("n_sum")).alias("s"), (F.col("ctx_hit") / F.col("n")).alias("cov")).collect()  # vocabulary x orders
     one = {r.ch: r.s for r in rows if r.k == 1}
     gains = {k: {r.ch: one[r.ch] - r.s for r in rows if r.k == k and r.ch in one and (k == 1 or r.cov >= gate)} for k in corpus.setup.ks}
-    out = [(step, *row) for step, row in enumerate(orders_asked(gains, k_max, patience))]
+    out = [(step, *row) for step, row in enumerate(orders_asked(gains, k_max, patience, n, alpha))]
     return corpus.documents.sparkSession.createDataFrame(out, "step int, k int, mean_gradient double")

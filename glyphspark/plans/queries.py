@@ -42,9 +42,11 @@ def prepared(spark: SparkSession, sf_dir: str, which: str, setup: Setup) -> Corp
     importable(spark)
     key = (spark.sparkContext.applicationId, sf_dir, which, setup)
     if key not in _prepared:
-        docs = spark.read.parquet(f"{sf_dir}/{'pages' if which == 'pages' else 'documents'}.parquet")
-        if which == "pages":
-            made = chars.corpus(docs, "html", "page_id", "pages", language="javascript")
+        docs = spark.read.parquet(f"{sf_dir}/{'pages' if which.startswith('pages') else 'documents'}.parquet")
+        if which.startswith("pages"):
+            made = chars.corpus(docs, "html", "page_id", "pages", language="javascript" if which == "pages" else None)
+        elif which == "python":
+            made = chars.corpus(docs, name="python", language="python")
         else:
             made = chars.corpus(docs.where("lang IS NOT NULL"), name=F.col("lang")) if which == "langs" else chars.corpus(docs)
         _prepared[key] = Corpus(made, setup)
@@ -184,6 +186,32 @@ def loo_structural(spark, d):
     return rounded(out.select("excluded", F.col("beta3").alias("b3"), "se", "n_obs", "n_clusters", "n_structural_clusters", "status", "delta"), 5)
 
 
+def loo_summary(spark, d):
+    return rounded(regression.leave_one_out_summary(regression.leave_one_out(chars.stored(panel_of(main(spark, d)), "panel"))), 5)
+
+
+def forest(spark, d):
+    """The languages as corpora, none of them code, with normal intervals."""
+    fits = regression.beta3(panel_of(langs(spark, d)), ["corpus"], normal_ci=True, min_rows=10, min_clusters=5)
+    return rounded(regression.forest(fits, F.lit(False)), 4)
+
+
+def coverage_classified(spark, d):
+    return rounded(main(spark, d).coverage(classified=True))
+
+
+def top_mean_gain(spark, d):
+    """Characters with two orders or more, the largest mean gain first."""
+    rows = panel.mean_gain(panel_of(main(spark, d))).where("n_k >= 2")
+    return rounded(sinks.top(rows.select("char_id", "structural", "mean_cg", "n_k"), "mean_cg", None, "char_id"))
+
+
+def domain_top(spark, d):
+    """The ten labellings of the eight corpora with the largest difference."""
+    rows = regression.top_subsets(spark.createDataFrame(DOMAINS, "name string, is_code boolean, beta3 double"))
+    return rounded(rows)
+
+
 def functional_form(spark, d):
     return regression.functional_form(panel_of(main(spark, d)))
 
@@ -196,6 +224,10 @@ def _split_fits(spark, d):
     return regression.beta3(variants.uncapped_panel(prepared(spark, d, "all", SPLITS)), ["corpus", "split"])
 
 
+def split_summary(spark, d):
+    return rounded(regression.split_summary(_split_fits(spark, d)), 4)
+
+
 def split_rotation(spark, d):
     return rounded(_split_fits(spark, d).select("split", F.col("beta3").alias("b3"), "se", "n_obs", "n_clusters"), 5)
 
@@ -218,7 +250,7 @@ def smoothing(spark, d):
         one = panel.panel(panel.context_gain(c.surprisal(alpha)), kmax, c.frequencies(), c.bounds).withColumn("smoothing", F.lit(name))
         rows = one if rows is None else rows.unionByName(one)
     wide = regression.beta3(rows, ["corpus", "smoothing"]).groupBy("corpus").pivot("smoothing", ["laplace", "kt"]).agg(F.first("beta3"))
-    return wide.withColumns({"delta": F.col("kt") - F.col("laplace"), "sign_preserved": F.signum("kt") == F.signum("laplace")})
+    return rounded(wide.withColumns({"delta": F.col("kt") - F.col("laplace"), "sign_preserved": F.signum("kt") == F.signum("laplace")}), 5)
 
 
 def domain_permutation(spark, d):
@@ -236,22 +268,55 @@ def mann_whitney(spark, d):
     return regression.go_decision(gained.unionByName(regression.mann_whitney(rows, "cg_peak").withColumn("measure", F.lit("cg_peak"))))
 
 
-def python_strata(spark, d):
-    """Strata of the package's own sources, as a corpus of Python."""
-    from pathlib import Path
+def mann_whitney_u(spark, d):
+    """U and the medians of the mean gain by type, without the p that needs the exact distribution."""
+    rows = regression.mann_whitney(panel.mean_gain(panel_of(langs(spark, d))), "mean_cg")
+    return rounded(rows.where("n_struct > 0 AND n_lex > 0").drop("p_value"))
 
+
+def _shares(rows: DataFrame) -> DataFrame:
+    total = rows.agg(F.sum("n").alias("total"))
+    return rows.crossJoin(F.broadcast(total)).select("stratum", "n", F.round(100 * F.col("n") / F.col("total"), 4).alias("percent"))  # one row
+
+
+def python_strata(spark, d):
+    """Strata of the documents, each read as a Python source."""
     importable(spark)
-    found = text.numbered(text.read_files(spark, str(Path(__file__).resolve().parents[1]), "*.py", recursive=True))
-    rows = chars.corpus(found, name="python", language="python").select(F.explode("strata").alias("stratum"))
-    return rows.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
+    docs = chars.spread(chars.corpus(spark.read.parquet(f"{d}/documents.parquet"), name="python"))
+    rows = docs.select(F.explode(chars.with_strata("text", "python")).alias("stratum"))
+    return _shares(rows.groupBy("stratum").agg(F.count(F.lit(1)).alias("n")))
+
+
+#: Code by strata of a Python tokenizer, code by the character alone.
+CODE, CODE_IDENTITY = Setup(classifier=classify.code), Setup(classifier=classify.code_identity)
+
+
+def code_peaks(spark, d):
+    return _peaks(prepared(spark, d, "python", CODE))
+
+
+def code_profile(spark, d):
+    c = prepared(spark, d, "python", Setup(classifier=classify.code_profile))
+    table = c.surprisal()
+    kmax = panel.reliable_kmax(c.coverage(), rule="probes", probes=adaptive.probes(8))
+    return panel.profiles(panel.context_gain(table), table.where("k = 1 AND n >= 30"), kmax, 8)
+
+
+def code_identity_panel(spark, d):
+    return rounded(panel_of(prepared(spark, d, "pages_plain", CODE_IDENTITY)).drop("corpus"))
+
+
+def code_identity_b3(spark, d):
+    fit = regression.beta3(panel_of(prepared(spark, d, "pages_plain", CODE_IDENTITY)), ["corpus"])
+    return rounded(fit.select("corpus", F.col("beta3").alias("b3"), "se", "n_obs", "n_clusters", "n_structural_clusters"), 5)
 
 
 JS = Setup(classifier=classify.js_identity, cap=None, test="ninth", least_context=8)
 
 
 def js_strata(spark, d):
-    rows = prepared(spark, d, "pages", JS).documents.select(F.explode("strata").alias("stratum")).groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
-    return rows
+    rows = prepared(spark, d, "pages", JS).documents.select(F.explode("strata").alias("stratum"))
+    return _shares(rows.groupBy("stratum").agg(F.count(F.lit(1)).alias("n")))
 
 
 def js_purity(spark, d):
@@ -313,11 +378,13 @@ def queries() -> dict[str, Query]:
         "split_rotation": split_rotation, "lexical_definition": lexical_definition, "smoothing": smoothing, "domain_permutation": domain_permutation, "label_permutation": label_permutation,
         "mann_whitney": mann_whitney, "python_strata": python_strata, "js_strata": js_strata, "js_purity": js_purity, "js_stratified": js_stratified,
         "profile_trajectory": profile_trajectory, "profile_wide": profile_wide, "adaptive_k": adaptive_k, "training_lines": training_lines, "corpus_training_lines": corpus_training_lines,
+        "loo_summary": loo_summary, "split_summary": split_summary, "forest": forest, "coverage_classified": coverage_classified, "top_mean_gain": top_mean_gain, "domain_top": domain_top,
+        "mann_whitney_u": mann_whitney_u, "code_peaks": code_peaks, "code_profile": code_profile, "code_identity_panel": code_identity_panel, "code_identity_b3": code_identity_b3,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    plain, by_lang = sql.base(), sql.base(sql.LANGS, 6)
+    plain, by_lang = sql.base(), sql.base(sql.LANGS)
     s, g, p = plain + sql.surprisal(), plain + sql.surprisal() + sql.gain(), plain + sql.surprisal() + sql.gain() + sql.panel()
     ls, lg = by_lang + sql.surprisal(), by_lang + sql.surprisal() + sql.gain()
     peak = lambda gate="": f", pk AS (SELECT * FROM (SELECT g.*, row_number() OVER (PARTITION BY corpus, ch ORDER BY cg DESC, k) AS place FROM g JOIN kmax USING (corpus) WHERE k <= kmax{gate}) WHERE place = 1)"
@@ -327,7 +394,7 @@ def oracle_sql() -> dict[str, str]:
         "vocab_stats": by_lang + " SELECT corpus, n, v AS vocab_size, n_tr, t0, t1 FROM b",
         "ctx_totals": plain + " SELECT ctx, total FROM tot WHERE k = 2",
         "global_coverage": s + " SELECT corpus, k, hits, total, round(hits / total, 6) AS coverage FROM cov",
-        "reliable_kmax": ls + " SELECT corpus, coalesce(max(k) FILTER (k > 1 AND hits / total >= 0.5), 1) AS last_reliable, coalesce(min(k) FILTER (k > 1 AND hits / total < 0.5) - 1, max(k)) AS before_gap, coalesce(max(k) FILTER (k IN (1, 2, 4, 6) AND hits / total >= 0.5), 1) AS last_probe FROM cov GROUP BY corpus",
+        "reliable_kmax": ls + " SELECT corpus, coalesce(max(k) FILTER (k > 1 AND hits / total >= 0.5), 1) AS last_reliable, coalesce(min(k) FILTER (k > 1 AND hits / total < 0.5) - 1, max(k)) AS before_gap, coalesce(max(k) FILTER (k IN (1, 2, 4, 8) AND hits / total >= 0.5), 1) AS last_probe FROM cov GROUP BY corpus",
         "class_distribution": f"WITH t AS ({sql.LANGS}), c AS (SELECT corpus, unnest(regexp_extract_all(text, '(?s).')) AS ch FROM t), n AS (SELECT corpus, {sql.KINDS['nl']} AS class, count(*) AS n FROM c GROUP BY ALL) SELECT corpus, class, n, round(100 * n / sum(n) OVER (PARTITION BY corpus), 4) AS percent FROM n",
         "surprisal_by_char": s + " SELECT k, ch, type, round(sum_surp, 3) AS sum_surp, round(sum_sq, 3) AS sum_sq, n_sum, n, ctx_hit FROM s",
         "surprisal_kt": plain + sql.surprisal(0.5) + " SELECT ch, k, round(sum_surp / n_sum, 6) AS mean FROM s",
@@ -346,12 +413,32 @@ def oracle_sql() -> dict[str, str]:
         "loo_structural": p + ", e AS (SELECT DISTINCT char_id AS excluded FROM p WHERE structural = 1), pe AS (SELECT excluded, p.* FROM p, e WHERE char_id <> excluded UNION ALL SELECT '(none)', p.* FROM p)" + sql.fwl("pe", "excluded") + f" SELECT excluded, {fit}, n_structural_clusters, CASE WHEN n_structural_clusters = 0 THEN 'COLLAPSED' ELSE 'OK' END AS status, round(b3 - (SELECT b3 FROM fit WHERE excluded = '(none)'), 5) AS delta FROM fit WHERE excluded <> '(none)'",
         "domain_permutation": "WITH v AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {str(c).lower()}, {b}::DOUBLE)" for i, (_, c, b) in enumerate(sorted(DOMAINS))) + ") AS t(i, is_code, b)), m AS (SELECT mask FROM range(256) r(mask) WHERE bit_count(mask::INT) = 5), s AS (SELECT mask, avg(b) FILTER ((mask >> i) & 1 = 1) - avg(b) FILTER ((mask >> i) & 1 = 0) AS stat FROM m, v GROUP BY mask), o AS (SELECT avg(b) FILTER (NOT is_code) - avg(b) FILTER (is_code) AS observed FROM v) SELECT 8 AS n, 5 AS n_nl, round(observed, 6) AS observed, count(*) AS n_permutations, count(*) FILTER (stat > observed - 1e-10) AS rank, count(*) FILTER (stat >= observed - 1e-10) AS n_ge, round(count(*) FILTER (stat >= observed - 1e-10) / count(*), 6) AS p_one_sided, round(count(*) FILTER (abs(stat) >= abs(observed) - 1e-10) / count(*), 6) AS p_two_sided FROM s, o GROUP BY observed",
         "training_lines": "WITH t AS (SELECT item_id, text || chr(10) AS text FROM benchmark WHERE text IS NOT NULL), o AS (SELECT regexp_extract_all(text, '(?s).') AS a, sum(length(text)) OVER (ORDER BY item_id) - length(text) AS start FROM t), c AS (SELECT CAST(start + generate_subscripts(a, 1) - 1 AS BIGINT) AS pos, unnest(a) AS ch FROM o) SELECT pos // 1000 AS line_no, string_agg(lower(printf('%04x', unicode(ch))), ' ' ORDER BY pos) AS line FROM c GROUP BY ALL",
-        "profile_wide": sql.base().replace(sql.KINDS["nl"], sql.KINDS["nl"].replace("WHEN ch IN (' ', chr(10), chr(9)) THEN 'ambiguous'", "WHEN ch = ' ' THEN 'lexical'")) + sql.surprisal() + sql.gain()
-        + ", km AS (SELECT coalesce(max(k) FILTER (k IN (1, 2, 4, 8) AND hits / total >= 0.5), 1) AS km FROM cov), one AS (SELECT ch, type, sum_surp / n_sum AS s1 FROM s WHERE k = 1 AND n >= 30), "
+        "profile_wide": sql.base(k=15).replace(sql.KINDS["nl"], sql.KINDS["nl"].replace("WHEN ch IN (' ', chr(10), chr(9)) THEN 'ambiguous'", "WHEN ch = ' ' THEN 'lexical'")) + sql.surprisal() + sql.gain()
+        + ", km AS (SELECT coalesce(max(k) FILTER (k IN (1, 2, 4, 8, 15) AND hits / total >= 0.5), 1) AS km FROM cov), one AS (SELECT ch, type, sum_surp / n_sum AS s1 FROM s WHERE k = 1 AND n >= 30), "
         "r AS (SELECT g.*, row_number() OVER (PARTITION BY ch ORDER BY (k <= km AND coverage >= 0.5) DESC, cg DESC, k) AS place, k <= km AND coverage >= 0.5 AS ok FROM g, km) "
         "SELECT one.ch, one.type, round(one.s1, 6) AS s1, k AS k_peak, round(cg, 6) AS cg_peak, coalesce(ok, false) AS in_reliable, "
-        + ", ".join(f"round((SELECT cg FROM g WHERE g.ch = one.ch AND k = {k}), 6) AS CG_k{k}, round((SELECT coverage FROM g WHERE g.ch = one.ch AND k = {k}), 6) AS cov_k{k}" for k in range(2, 9)) + " FROM one LEFT JOIN r ON r.ch = one.ch AND place = 1",
+        + ", ".join(f"round((SELECT cg FROM g WHERE g.ch = one.ch AND k = {k}), 6) AS CG_k{k}, round((SELECT coverage FROM g WHERE g.ch = one.ch AND k = {k}), 6) AS cov_k{k}" for k in range(2, 16)) + " FROM one LEFT JOIN r ON r.ch = one.ch AND place = 1",
     }
+    loo = out["loo_structural"]
+    out["loo_summary"] = f"SELECT 'all' AS corpus, min(b3) AS b3_min, max(b3) AS b3_max, bool_and(b3 > 0) AS all_positive, bool_or(b3 <= 0) AS any_nonpositive FROM ({loo})"
+    lp = lg + sql.panel()
+    out["forest"] = lp + ", pg AS (SELECT * FROM p WHERE corpus IN (SELECT corpus FROM p GROUP BY corpus HAVING count(*) >= 10 AND count(DISTINCT char_id) >= 5))" + sql.fwl("pg") + (
+        " SELECT false AS is_code, row_number() OVER (ORDER BY b3 DESC, corpus) AS place, corpus, round(b3, 4) AS beta3, round(se, 4) AS se, round(b3 - 1.96::DOUBLE * se, 4) AS ci_low, round(b3 + 1.96::DOUBLE * se, 4) AS ci_high, n_obs, n_clusters, n_structural_clusters FROM fit"
+    )
+    out["coverage_classified"] = plain + sql.surprisal() + " SELECT corpus, k, CAST(sum(ctx_hit) AS BIGINT) AS hits, CAST(sum(n) AS BIGINT) AS total, round(sum(ctx_hit) / sum(n), 6) AS coverage FROM s GROUP BY corpus, k"
+    out["top_mean_gain"] = p + " SELECT char_id, structural, round(avg(cg), 6) AS mean_cg, count(*) AS n_k FROM p GROUP BY char_id, structural HAVING count(*) >= 2"
+    out["domain_top"] = out["domain_permutation"].split(", o AS (")[0] + " SELECT CAST(mask AS BIGINT) AS mask, round(stat, 6) AS stat FROM s ORDER BY s.stat DESC, mask LIMIT 10"
+    ranked = "m AS (SELECT corpus, char_id, structural, avg(cg) AS v FROM p GROUP BY ALL), u AS (SELECT a.corpus, sum(CASE WHEN a.v > b.v THEN 1.0::DOUBLE WHEN a.v = b.v THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END) AS u FROM m a JOIN m b ON a.corpus = b.corpus AND a.structural = 1 AND b.structural = 0 GROUP BY a.corpus)"
+    out["mann_whitney_u"] = lp + f", {ranked} SELECT m.corpus, count(*) FILTER (structural = 1) AS n_struct, count(*) FILTER (structural = 0) AS n_lex, round(median(v) FILTER (structural = 1), 6) AS median_struct, round(median(v) FILTER (structural = 0), 6) AS median_lex, round(any_value(u), 6) AS u FROM m JOIN u ON m.corpus = u.corpus GROUP BY m.corpus"
+    kt = sql.base() + sql.surprisal(0.5) + sql.gain() + sql.panel()
+    one = lambda ctes: f"(WITH q AS ({ctes} SELECT * FROM p)" + sql.fwl("q") + " SELECT corpus, b3 FROM fit)"
+    out["smoothing"] = f"SELECT a.corpus, round(a.b3, 5) AS laplace, round(b.b3, 5) AS kt, round(b.b3 - a.b3, 5) AS delta, sign(b.b3) = sign(a.b3) AS sign_preserved FROM {one(p)} a JOIN {one(kt)} b ON a.corpus = b.corpus"
+    code = sql.base(sql.PAGES, kind="code_identity") + sql.surprisal() + sql.gain() + sql.panel()
+    out["code_identity_panel"] = code + " SELECT char_id, k, round(cg, 6) AS cg, round(log2k, 6) AS log2k, structural, round(log2k * structural, 6) AS log2k_x_s, round(logfreq, 6) AS logfreq FROM p"
+    out["code_identity_b3"] = code + sql.fwl() + f" SELECT corpus, {fit}, n_structural_clusters FROM fit"
+    quoted = "|".join(rf"{q}(?:\\.|[^{q}])*(?:{q}|\z)" for q in "\"'`").replace("'", "''")
+    js = rf"(?s)//[^\n]*|/\*.*?(?:\*/|\z)|{quoted}"
+    out["js_strata"] = f"WITH t AS (SELECT html || chr(10) AS c, regexp_extract_all(html || chr(10), '{js}') AS m FROM pages WHERE html IS NOT NULL), r AS (SELECT length(c) AS n, m, list_sum([length(x) FOR x IN m IF starts_with(x, '/')]) AS comment, list_sum([length(x) FOR x IN m IF NOT starts_with(x, '/')]) AS string FROM t), s AS (SELECT sum(n) AS n, sum(coalesce(comment, 0)) AS comment, sum(coalesce(string, 0)) AS string FROM r), a AS (SELECT 'comment' AS stratum, comment AS c FROM s UNION ALL SELECT 'string', string FROM s UNION ALL SELECT 'code', n - comment - string FROM s) SELECT stratum, CAST(c AS BIGINT) AS n, round(100 * c / n, 4) AS percent FROM a, s WHERE c > 0"
     for k in (1, 2, 4):
         out[f"ngram_counts_k{k}"] = sql.base(k=k) + f" SELECT ctx, ch, c FROM ng WHERE k = {k}"
 
@@ -363,5 +450,6 @@ FROM s JOIN s o ON s.ch = o.ch AND o.k = 1 JOIN al ON al.ch = s.ch JOIN freq ON
 
     each = lambda name, runs: "WITH pp AS (" + " UNION ALL ".join(f"SELECT {label} AS {name}, * FROM {rows}" for label, rows in runs) + ")" + sql.fwl("pp", name) + f" SELECT {name}, {fit} FROM fit"
     out["lexical_definition"] = each("lexical_def", [(f"'{k}'", uncapped(k, "ninth")) for k in ("ascii_alnum_space", "ascii_letters")])
+    out["split_summary"] = "WITH pp AS (" + " UNION ALL ".join(f"SELECT {i} AS split, * FROM {uncapped('ascii_alnum_space', 'rotated', i)}" for i in range(5)) + ")" + sql.fwl("pp", "split") + " SELECT 'all' AS corpus, count(b3) AS n, round(min(b3), 4) AS b3_min, round(max(b3), 4) AS b3_max, round(avg(b3), 4) AS b3_mean, round(stddev_samp(b3), 4) AS b3_sd, bool_and(b3 > 0) AS all_positive FROM fit"
     out["split_rotation"] = each("split", [(str(i), uncapped("ascii_alnum_space", "rotated", i)) for i in range(5)])
     return out

@@ -6,12 +6,15 @@ from __future__ import annotations
 _NL = ", ".join("'" + c.replace("'", "''") + "'" for c in ",.;:?!'\"()[]{}")
 _KIND = rf"CASE WHEN ch IN ({_NL}) THEN 'structural' WHEN ch IN (' ', chr(10), chr(9)) THEN 'ambiguous' WHEN regexp_matches(ch, '^[\p{{L}}\p{{Nd}}]$') THEN 'lexical' ELSE 'other' END"
 _LETTERS = "regexp_matches(ch, '^[a-zA-Z]$')"
+_CODE = ", ".join("'" + c + "'" for c in "()[]{},:;=.@+-*/%&|^~<>!?")
 KINDS = {
     "nl": _KIND,
+    "code_identity": rf"CASE WHEN ch IN ({_CODE}) THEN 'structural' WHEN regexp_matches(ch, '^[\p{{L}}\p{{Nd}}_]$') THEN 'lexical' ELSE 'other' END",
     "ascii_alnum_space": f"CASE WHEN ch IN ({_NL}) THEN 'structural' WHEN regexp_matches(ch, '^[a-zA-Z0-9 ]$') THEN 'lexical' ELSE 'other' END",
     "ascii_letters": f"CASE WHEN ch IN ({_NL}) THEN 'structural' WHEN {_LETTERS} THEN 'lexical' ELSE 'other' END",
 }
 ALL = "SELECT 'all' AS corpus, doc_id, text || chr(10) AS text FROM documents WHERE text IS NOT NULL"
+PAGES = "SELECT 'pages' AS corpus, page_id AS doc_id, html || chr(10) AS text FROM pages WHERE html IS NOT NULL"
 LANGS = "SELECT lang AS corpus, doc_id, text || chr(10) AS text FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL"
 
 

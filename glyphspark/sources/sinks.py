@@ -43,3 +43,40 @@ def training_lines(characters: DataFrame, width: int = 1000) -> DataFrame:
     rows = characters.select("corpus", F.floor(F.col("pos") / width).alias("line_no"), "pos", hex_token("ch").alias("t"))
     listed = F.transform(F.sort_array(F.collect_list(F.struct("pos", "t"))), lambda r: r["t"])
     return rows.groupBy("corpus", "line_no").agg(F.array_join(listed, " ").alias("line"))
+
+
+def ngram_label(k: str | Column) -> Column:
+    """Name of the n-grams of a context of ``k`` characters."""
+    c = F.col(k) if isinstance(k, str) else k
+    return F.when(c == 1, "bigram").when(c == 2, "trigram").otherwise(F.concat((c + 1).cast("string"), F.lit("-gram")))
+
+
+def top(df: DataFrame, by: str, n: int | None = None, *ties: str) -> DataFrame:
+    """Rows in descending order of a column whose nulls count as 0, the first ``n`` of them if given; ties
+    by further columns. An empty table gives an empty one."""
+    ordered = df.orderBy(F.coalesce(F.col(by), F.lit(0)).desc(), *ties)
+    return ordered if n is None else ordered.limit(n)
+
+
+def shown(ch: str | Column) -> Column:
+    """A character as it is printed in a table: quoted, with blanks by their escapes."""
+    c = F.col(ch) if isinstance(ch, str) else ch
+    escaped = F.when(c == "\n", "\\n").when(c == "\t", "\\t").when(c == "\r", "\\r").when(c == "'", "\\'").when(c == "\\", "\\\\").otherwise(c)
+    return F.concat(F.lit("'"), escaped, F.lit("'"))
+
+
+def text_table(df: DataFrame, widths: dict[str, int], decimals: int = 4) -> DataFrame:
+    """One column ``line``: a row of the table as text, numbers to the right, the rest to the left."""
+    cells, kinds = [], dict(df.dtypes)
+    for name, width in widths.items():
+        c = F.col(f"`{name}`")
+        number = kinds[name] in ("double", "float", "int", "bigint")
+        value = F.coalesce(F.format_string(f"%.{decimals}f", c.cast("double")) if kinds[name] in ("double", "float") else c.cast("string"), F.lit("-"))
+        pad = F.lpad if number else F.rpad
+        cells.append(F.when(F.length(value) > width, value).otherwise(pad(value, width, " ")))
+    return df.select(F.concat_ws(" ", *cells).alias("line"))
+
+
+def heading(widths: dict[str, int], kinds: dict[str, str]) -> str:
+    """The line above a text table."""
+    return " ".join(name.rjust(w) if kinds[name] in ("double", "float", "int", "bigint") else name.ljust(w) for name, w in widths.items())
