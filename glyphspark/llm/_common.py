@@ -23,7 +23,7 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 
 
 #: Bytes of a source for each file of the tables that are made from it.
-FILE_BYTES = 32 << 20
+FILE_BYTES = 128 << 20
 
 
 def file_count(source: DataFrame) -> int:
@@ -34,13 +34,23 @@ def file_count(source: DataFrame) -> int:
     return max(source.sparkSession.sparkContext.defaultParallelism, min(size // FILE_BYTES, 1 << 20))
 
 
+#: Where the shared folder is a local path, no checksum files and no marker: each would be one more process
+#: that the JVM starts for its permissions. Other file systems do not look at these.
+_PLAIN_LOCAL = {
+    "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem",
+    "fs.file.impl.disable.cache": "true",
+    "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false",
+}
+
+
 def stored(df: DataFrame, label: str, files: int | None = None) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder, in at most ``files`` files, and read it back.
 
     Cuts the lineage: what is read later survives the loss of any executor.
     """
     path = fresh_path(df.sparkSession, label)
-    (df if files is None else df.coalesce(files)).write.option("compression", "zstd").parquet(path)
+    writer = (df if files is None else df.coalesce(files)).write.options(compression="zstd", **_PLAIN_LOCAL)
+    writer.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._glyph_path = path
     return out

@@ -22,13 +22,13 @@ _FILE_ROWS = 1_000_000
 def components(edges: DataFrame) -> DataFrame:
     """node, root (smallest node of its component) of all nodes of ``edges`` (u, v: long)."""
     cores = edges.sparkSession.sparkContext.defaultParallelism
-    now = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", 4 * cores)
+    now = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", cores)
     seen = None
     while True:
         n, state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if (n, state) == seen:
             break
-        seen, files = (n, state), 1 + n // _FILE_ROWS
+        seen, files = (n, state), max(cores, n // _FILE_ROWS)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

@@ -316,8 +316,8 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     dropped = stored(grouped.alias("g").join(chosen.alias("c"), same("g", "c"), "left_anti").select(*key).distinct(), "fingerprint-dropped", files)
     names = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), "doc_id", _text_hash("text"))
-    few = F.broadcast(dropped) if dropped.count() <= MAX_BROADCAST_KEYS else dropped
-    kept = rows.alias("r").join(few.alias("d"), same("r", "d"), "left_anti")
+    gone = F.broadcast(dropped) if dropped.count() <= MAX_BROADCAST_KEYS else dropped
+    kept = rows.alias("r").join(gone.alias("d"), same("r", "d"), "left_anti")
     twice = stored(grouped.groupBy(*key).count().where("count > 1").select(*key).alias("t").join(chosen.alias("c"), same("t", "c"), "left_semi"), "fingerprint-twice", files)
     if twice.isEmpty():
         return kept.select("_row.*")
