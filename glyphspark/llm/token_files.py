@@ -171,8 +171,12 @@ class TokenFile:
 
 
 def _filesystem(uri: str):
+    """pyarrow's file system and path of a URI as Spark names it."""
     from pyarrow import fs
 
+    for spark_name, name in (("s3a://", "s3://"), ("s3n://", "s3://"), ("abfss://", "abfs://")):
+        if uri.startswith(spark_name):
+            uri = name + uri.removeprefix(spark_name)
     return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + os.path.abspath(uri.removeprefix("file:")))
 
 
