@@ -52,6 +52,7 @@ def test_removed_lines_equal_brute_force(spark):
 def test_groups_of_near_lines_equal_brute_force(spark, monkeypatch):
     """Groups of near copies, some settled at first and some in the index."""
     monkeypatch.setattr(line_dedup, "EARLY", 1)
+    monkeypatch.setattr(line_dedup, "SHORT", 28)  # lines of both kinds of bitmap meet
     rng = random.Random(11)
     base = [[f"t{i}w{j}" for j in range(30)] for i in range(3)]
     rows = []
