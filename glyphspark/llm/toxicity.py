@@ -73,6 +73,12 @@ def word_hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes[order], np.searchsorted(owner[order], np.arange(len(words)))
 
 
+def _by_words(starts: np.ndarray, total: int, step: int = 10_000) -> list[tuple[slice, slice]]:
+    """Slices of words and of their hashes, so that what is made of them is small at any time."""
+    ends = np.append(starts, total)
+    return [(slice(i, min(i + step, len(starts))), slice(int(ends[i]), int(ends[min(i + step, len(starts))]))) for i in range(0, len(starts), step)]
+
+
 def table_rows(hashes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
     """Rows of a table of ``2 * size``: words in the first half, n-grams in the second."""
     rows = hashes % size + size
@@ -257,26 +263,37 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 7, warm: int = 240
         return None
     rng, number = np.random.default_rng(seed), {b"": 0}  # 0 is no word
     ids = [np.array([number.setdefault(w, len(number)) for w in t.split()], np.int64) for t in texts]
-    hashes, starts = word_hashes(list(number))
-    sizes = np.diff(starts, append=len(hashes))
-    rows, p = table_rows(hashes, starts, ROWS), init(seed, np.float64)
+    listed, found = list(number), []
+    for i in range(0, len(listed), 10_000):
+        found.append(word_hashes(listed[i : i + 10_000]))
+    before = np.cumsum([0, *(len(h) for h, _ in found)])
+    hashes, starts = np.concatenate([h.astype(np.uint32) for h, _ in found]), np.concatenate([s + b for (_, s), b in zip(found, before)])
+    del listed, found
+    sizes, parts = np.diff(starts, append=len(hashes)), _by_words(starts, len(hashes))
+    in_table = lambda size: np.concatenate([table_rows(hashes[h].astype(np.int64), starts[w] - h.start, size).astype(np.int32) for w, h in parts])
+    rows, p = in_table(ROWS), init(seed, np.float64)
     # Evidence: documents of either label that hold a row, by fold; folds are dealt within each label.
     fold = np.empty(len(texts), np.int64)
     for y in (0, 1):
         fold[labels == y] = np.arange(int((labels == y).sum())) % FOLDS
     seen, n = np.zeros((FOLDS, 2, 2 * EVIDENCE_ROWS)), np.zeros((FOLDS, 2))
-    where = table_rows(hashes, starts, EVIDENCE_ROWS)
+    where = in_table(EVIDENCE_ROWS)
     for f, y, words in zip(fold, labels.astype(int), ids):
         own = np.unique(words)
         at = np.repeat(starts[own], sizes[own]) + np.arange(sizes[own].sum()) - np.repeat(np.cumsum(sizes[own]) - sizes[own], sizes[own])
         seen[f, y, np.unique(where[at])] += 1
         n[f, y] += 1
     p["L"] = evidence_table(seen.sum(0), n.sum(0))
-    evidence = np.stack([evidences_of(evidence_table(seen.sum(0) - seen[f], n.sum(0) - n[f]), hashes, starts) for f in range(FOLDS)])
-    del seen
-    wins = [windows(x) for x in ids]
+    evidence = np.empty((FOLDS, len(starts), EVIDENCES))
+    for f in range(FOLDS):
+        table = evidence_table(seen.sum(0) - seen[f], n.sum(0) - n[f])
+        for w, h in parts:
+            evidence[f, w] = evidences_of(table, hashes[h].astype(np.int64), starts[w] - h.start)
+    del seen, where, hashes
+    wins = [windows(x).astype(np.int32) for x in ids]
     owner = np.repeat(np.arange(len(wins)), [len(w) for w in wins])
     wins = np.concatenate(wins)
+    del ids, number
     moments = {k: (np.zeros_like(x), np.zeros_like(x)) for k, x in p.items()}
     halves = [np.flatnonzero(labels[owner] == y) for y in (0, 1)]
     count, own_width = 0, p["E"].shape[1]
@@ -312,7 +329,7 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 7, warm: int = 240
 
     def best() -> tuple[np.ndarray, np.ndarray]:
         """The highest window of each document and its logit, by the evidence of the other folds."""
-        logit, vectors = np.empty(len(wins)), embedded(p["E"], rows, starts)
+        logit, vectors = np.empty(len(wins)), np.concatenate([embedded(p["E"], rows[h], starts[w] - h.start) for w, h in parts])
         for f in range(FOLDS):
             mine = np.flatnonzero(fold[owner] == f)
             if len(mine):
