@@ -66,6 +66,25 @@ def test_groups_of_near_lines_equal_brute_force(spark, monkeypatch):
     assert {r.doc_id: list(r.removed) for r in line_dedup.removed_lines(df).collect()} == _removed([r[:2] for r in rows])
 
 
+def test_any_share_of_lines_gives_the_same_matches(spark, monkeypatch):
+    """The rarity order may be counted on all lines, some or none; words are parted by all six blanks and hashed once."""
+    rng = random.Random(23)
+    base = [[f"t{i}w{j}é" for j in range(n)] for i, n in enumerate((3, 12, 40, 130, 150))]
+    rows = []
+    for doc_id in range(50):
+        lines = [list(rng.choice(base)) for _ in range(rng.randint(1, 4))]
+        for line in lines:
+            for _ in range(rng.randint(0, len(line) // 8)):
+                line[rng.randrange(len(line))] = rng.choice(["common", f"own{doc_id}", f"n{rng.randint(0, 30)}"])
+        rows.append((doc_id, "\n".join("".join(w + rng.choice([" ", "\t", "\v", "\f\r", "  "]) for w in line) for line in lines + [[""]]), "en", "a", 1))
+    df, want = spark.createDataFrame(rows, SCHEMA), _removed([r[:2] for r in rows])
+    for share in (1, 8, 1 << 60):
+        monkeypatch.setattr(line_dedup, "RARITY_SHARE", share)
+        assert {r.doc_id: list(r.removed) for r in line_dedup.removed_lines(df).collect()} == want
+    keys = df.select(line_dedup._keys("text", line_dedup._rarity(df)).alias("keys"))
+    assert keys._jdf.queryExecution().optimizedPlan().toString().count("xxhash64") == 1
+
+
 def test_lines_of_one_template_cost_their_number(spark):
     """Lines that share all words but one rare one and are not similar: no pair of them is looked at."""
     rows = [(i, "\n".join(f"Chapter {100 * i + j} of the book" for j in range(100)), "en", "a", 1) for i in range(1000)]
