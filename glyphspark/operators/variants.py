@@ -26,8 +26,8 @@ def uncapped_panel(corpus: Corpus, min_n: int = 30, tau: float = 0.5) -> DataFra
 
 def purity(corpus: Corpus, structural: str) -> DataFrame:
     """corpus, ch, n_code, n_all of candidate characters in the test, by their stratum."""
-    rows = corpus.whole_test().where(F.col("ch").isin(*structural))
-    return rows.groupBy("corpus", "ch").agg(F.count_if(F.col("stratum") == "code").alias("n_code"), F.count(F.lit(1)).alias("n_all"))
+    rows = corpus.whole_test(structural)
+    return rows.groupBy("corpus", "ch").agg(F.sum(F.when(F.col("stratum") == "code", F.col("n")).otherwise(0)).alias("n_code"), F.sum("n").alias("n_all"))
 
 
 def stratified_panel(corpus: Corpus, structural: str, min_n: int = 30, tau: float = 0.5, pure: float = 0.5) -> DataFrame:

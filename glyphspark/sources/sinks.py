@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +48,32 @@ def training_lines(characters: DataFrame, width: int = 1000) -> DataFrame:
     return rows.groupBy("corpus", "line_no").agg(F.array_join(listed, " ").alias("line"))
 
 
+def text_lines(located: DataFrame, ends: DataFrame, width: int = 1000) -> DataFrame:
+    """As ``training_lines``, of located documents (corpus, start, text) up to the place ``high`` of ``ends``.
+    Pieces of text are brought together by line; only whole lines are written as tokens."""
+    rows = located.join(F.broadcast(ends), "corpus").where("start < high")  # a row a corpus
+    skip = F.pmod("start", F.lit(width)).cast("int")
+    pieces = F.regexp_extract_all(F.concat(F.repeat(F.lit(" "), skip), "text"), F.lit(f"(?s).{{1,{width}}}"), F.lit(0))
+    rows = rows.select("corpus", "high", "start", skip.alias("skip"), F.posexplode(pieces).alias("i", "piece"))
+    piece = F.when(F.col("i") == 0, F.substring("piece", F.col("skip") + 1, F.lit(width))).otherwise(F.col("piece"))
+    rows = rows.select("corpus", "high", (F.floor(F.col("start") / width) + F.col("i")).alias("line_no"), "start", piece.alias("piece"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", "piece"))), lambda r: r["piece"]), "")
+    lines = rows.groupBy("corpus", "line_no").agg(joined.alias("text"), F.first("high").alias("high"))
+    lines = lines.select("corpus", "line_no", F.left("text", F.least(F.col("high") - F.col("line_no") * width, F.lit(width)).cast("int")).alias("text")).where("text <> ''")
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, str] = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                shown = part.column("text").to_pylist()
+                known.update((c, f"{ord(c):04x}") for c in set().union(*shown) if c not in known)
+                line = pa.array([" ".join([known[c] for c in text]) for text in shown], pa.string())
+                yield pa.RecordBatch.from_arrays([part.column("corpus"), part.column("line_no"), line], names=["corpus", "line_no", "line"])
+
+    return lines.mapInArrow(tokens, "corpus string, line_no long, line string")
+
+
 def ngram_label(k: str | Column) -> Column:
     """Name of the n-grams of a context of ``k`` characters."""
     c = F.col(k) if isinstance(k, str) else k
