@@ -220,3 +220,12 @@ def test_near_duplicates_take_awkward_rows(spark):
     assert simhash.keep_one(docs.limit(0)).collect() == [] and simhash.near_duplicates(docs.limit(0)).collect() == []
     twins = docs.where("doc_id = 6").unionByName(docs.where("doc_id = 6"))
     assert simhash.keep_one(twins).count() == 1
+
+
+def test_rarity_counts_every_line(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(i, f"only{i}") for i in range(200)], "doc_id long, text string")
+    rarity = line_dedup._rarity(docs)
+    place = F.xxhash64("text").bitwiseAND(line_dedup.RARITY_BUCKETS - 1).cast("int")
+    assert docs.select(F.min(F.get(rarity, place)).alias("least")).first().least > 0
