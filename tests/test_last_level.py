@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from glyphspark.functions import strata
 from glyphspark.operators import chars, counting
 from glyphspark.operators.surprisal import Corpus, Setup
 
@@ -84,3 +85,14 @@ def test_cells_of_the_cap_are_counted_in_workers(spark):
         assert (len(at), min(at), max(at)) == (cell.n, cell.lo, cell.hi)
     spans = {(r.corpus, r.ch): (3, 90) for r in rows}
     assert sorted(c.test_rows(spans).collect()) == sorted(r for r in rows if 3 <= r.off <= 90)
+
+
+def test_strata_are_counted_without_a_column_of_them(spark):
+    code = ["x = 'a' # é🙂\n", "if y:\n    pass\n", "it's no code", "`a` // b\n/* c */ 'd"]
+    rows = spark.createDataFrame(list(enumerate(code)), "doc_id long, text string")
+    for language in ("python", "javascript"):
+        docs = chars.corpus(rows, language=language)
+        got = strata.counted_strata(docs, language)
+        assert {tuple(r) for r in got.collect()} == {tuple(r) for r in strata.counted_strata(docs).collect()}
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "ArrowEvalPython" not in plan and plan.count("MapInArrow") == 1
