@@ -96,3 +96,27 @@ def test_strata_are_counted_without_a_column_of_them(spark):
         assert {tuple(r) for r in got.collect()} == {tuple(r) for r in strata.counted_strata(docs).collect()}
         plan = got._jdf.queryExecution().optimizedPlan().toString()
         assert "ArrowEvalPython" not in plan and plan.count("MapInArrow") == 1
+
+
+def test_keys_of_one_word_are_merged_over_chunks():
+    rng = random.Random(5)
+    text = "".join(rng.choice("abcdefgh") for _ in range(3000))
+    points = np.arange(97, 105)
+    plan = counting.Plan("c", points, np.ones((1, 9), np.uint8), np.array([0]), np.array([0]), np.array([0]), np.array([[8]]), np.array([[-1]]))
+    counter = counting.Counter([plan], (8,), 0, 1)
+    for i in range(6):
+        counter.add("c", [(i * 3000, "", text, None)])
+    assert not list(counter.sent())  # they wait for other chunks
+    counter.merge()
+    rows = list(counter.emit())
+    n = sum(r["n"] for r in rows)
+    counts = np.concatenate([counting._unpacked(1, r["n"], r["data"])[1] for r in rows])
+    assert n < 3100 and counts.sum() == 18000 and counts.max() >= 6
+
+
+@pytest.mark.parametrize("n", [0, 1, counting.SMALL - 1, counting.SMALL, 70_000])
+def test_order_of_words_is_lexsort(n):
+    rng = np.random.default_rng(n)
+    wide, narrow = rng.integers(0, 1 << 63, n).astype(np.uint64) << np.uint64(1), rng.integers(0, 7, n)
+    for arrays in ([wide], [narrow, narrow[::-1]], [wide % np.uint64(9) << np.uint64(55), wide, narrow.astype(np.int32)], [np.zeros(n, np.int64)]):
+        assert (counting.order_of(arrays) == np.lexsort(arrays[::-1])).all()
