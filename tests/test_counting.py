@@ -4,6 +4,7 @@ import random
 from collections import Counter as Counts
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from test_surprisal import _brute
 
@@ -78,3 +79,29 @@ def test_lines_come_from_pieces_of_texts(spark):
     want = sinks.training_lines(chars.characters(docs, 1, placed=placed).where(F.col("pos") < 333), 10)
     assert sorted(got.collect()) == sorted(want.collect()) and got.count() == 34
     assert "explode(sequence" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_code_points_of_utf8():
+    text = "".join(map(chr, [0, 65, 127, 128, 0x7FF, 0x800, 0xFFFD, 0xFFFF, 0x10000, 0x10FFFF])) * 3 + "aé🙂"
+    points, n = counting.code_points(np.frombuffer(text.encode(), np.uint8))
+    assert dict(zip(points.tolist(), n.tolist(), strict=True)) == Counts(map(ord, text))
+    assert counting.code_points(np.zeros(0, np.uint8))[0].tolist() == []
+
+
+@pytest.mark.parametrize("which", ["plain", "repeated", "null ids", "one id"])
+def test_train_frequencies_without_located_documents(spark, monkeypatch, which):
+    monkeypatch.setattr(counting, "CHUNK", 7)  # pieces end within documents
+    rng = random.Random(which)
+    texts = ["".join(rng.choice("abé🙂 ") for _ in range(rng.randint(0, 30))) for _ in range(40)]
+    ids = {"plain": range(40), "repeated": range(40), "null ids": [None] * 40, "one id": [3] * 40}[which]
+    rows = [(i, "xy"[n % 2], t) for n, (i, t) in enumerate(zip(ids, texts, strict=True))]
+    rows += [(31, "x", "same é text")] * 17 if which == "repeated" else []
+    docs = chars.corpus(spark.createDataFrame(rows, "doc_id long, name string, text string").repartition(3), name=F.col("name"))
+    c = Corpus(docs, Setup(ks=(1, 2)))
+    got = {(r.corpus, r.ch): r.freq for r in c.frequencies().collect()}
+    assert "located" not in c.__dict__
+    want = {}
+    for name, n_tr in [(b.corpus, b.n_tr) for b in c.bounds.collect()]:
+        joined = "".join(r.text for r in sorted(c.located.where(F.col("corpus") == name).collect(), key=lambda r: r.start))
+        want |= {(name, ch): n for ch, n in Counts(joined[:n_tr]).items()}
+    assert got == want
