@@ -48,30 +48,52 @@ def training_lines(characters: DataFrame, width: int = 1000) -> DataFrame:
     return rows.groupBy("corpus", "line_no").agg(F.array_join(listed, " ").alias("line"))
 
 
+#: Lines that go to a worker as one block, and characters of the corpora for each part of the blocks.
+BLOCK, PART_CHARS = 1000, 32_000_000
+
+
 def text_lines(located: DataFrame, ends: DataFrame, width: int = 1000) -> DataFrame:
     """As ``training_lines``, of located documents (corpus, start, text) up to the place ``high`` of ``ends``.
-    Pieces of text are brought together by line; only whole lines are written as tokens."""
+    Texts are cut at blocks of ``BLOCK`` lines and dealt out and put in order by these; a worker joins what
+    follows each other and writes whole lines as tokens."""
+    size, parts = width * BLOCK, 1 + (ends.agg(F.sum("high")).first()[0] or 0) // PART_CHARS
     rows = located.join(F.broadcast(ends), "corpus").where("start < high")  # a row a corpus
-    skip = F.pmod("start", F.lit(width)).cast("int")
-    pieces = F.regexp_extract_all(F.concat(F.repeat(F.lit(" "), skip), "text"), F.lit(f"(?s).{{1,{width}}}"), F.lit(0))
-    rows = rows.select("corpus", "high", "start", skip.alias("skip"), F.posexplode(pieces).alias("i", "piece"))
-    piece = F.when(F.col("i") == 0, F.substring("piece", F.col("skip") + 1, F.lit(width))).otherwise(F.col("piece"))
-    rows = rows.select("corpus", "high", (F.floor(F.col("start") / width) + F.col("i")).alias("line_no"), "start", piece.alias("piece"))
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", "piece"))), lambda r: r["piece"]), "")
-    lines = rows.groupBy("corpus", "line_no").agg(joined.alias("text"), F.first("high").alias("high"))
-    lines = lines.select("corpus", "line_no", F.left("text", F.least(F.col("high") - F.col("line_no") * width, F.lit(width)).cast("int")).alias("text")).where("text <> ''")
+    rows = rows.withColumn("text", F.left("text", F.least(F.length("text").cast("long"), F.col("high") - F.col("start")).cast("int"))).where("text <> ''")
+    end = F.col("start") + F.length("text")
+    low = lambda b: F.greatest(F.col("start"), b * size)
+    piece = lambda b: F.substring("text", (low(b) - F.col("start") + 1).cast("int"), (F.least(end, (b + 1) * size) - low(b)).cast("int"))
+    blocks = F.transform(F.sequence(F.floor(F.col("start") / size), F.floor((end - 1) / size)), lambda b: F.struct(b.alias("block"), low(b).alias("from"), piece(b).alias("text")))
+    rows = rows.select("corpus", F.explode(blocks).alias("b")).select("corpus", "b.*").repartition(int(parts), "corpus", "block").sortWithinPartitions("corpus", "block", "from")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, str] = {}
+        of, at, held = None, 0, []  # corpus and block, place of the first character that is held, and what is held
+
+        def lines(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal at, held
+            text = "".join(held)
+            whole = len(text) if last else (at + len(text)) // width * width - at
+            if whole > 0:
+                known.update((c, f"{ord(c):04x}") for c in set(text) if c not in known)
+                shown = [text[i : i + width] for i in range(0, whole, width)]  # the first one begins a line
+                line = pa.array([" ".join([known[c] for c in t]) for t in shown], pa.string())
+                no = pa.array(range(at // width, at // width + len(shown)), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([of[0]] * len(shown), pa.string()), no, line], names=["corpus", "line_no", "line"])
+                at, text = at + whole, text[whole:]
+            held = [text] if text else []
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                shown = part.column("text").to_pylist()
-                known.update((c, f"{ord(c):04x}") for c in set().union(*shown) if c not in known)
-                line = pa.array([" ".join([known[c] for c in text]) for text in shown], pa.string())
-                yield pa.RecordBatch.from_arrays([part.column("corpus"), part.column("line_no"), line], names=["corpus", "line_no", "line"])
-
-    return lines.mapInArrow(tokens, "corpus string, line_no long, line string")
+            for low in range(0, batch.num_rows, 64):
+                part = batch.slice(low, 64)
+                for name, block, start, text in zip(*(part.column(c).to_pylist() for c in ("corpus", "block", "from", "text")), strict=True):
+                    if (name, block) != of:
+                        yield from lines(True)
+                        of, at = (name, block), start
+                    held.append(text)
+                yield from lines(False)
+        yield from lines(True)
+
+    return rows.mapInArrow(tokens, "corpus string, line_no long, line string")
 
 
 def ngram_label(k: str | Column) -> Column:

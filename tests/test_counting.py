@@ -105,3 +105,19 @@ def test_train_frequencies_without_located_documents(spark, monkeypatch, which):
         joined = "".join(r.text for r in sorted(c.located.where(F.col("corpus") == name).collect(), key=lambda r: r.start))
         want |= {(name, ch): n for ch, n in Counts(joined[:n_tr]).items()}
     assert got == want
+
+
+def test_lines_are_made_in_blocks_without_lists(spark, monkeypatch):
+    monkeypatch.setattr(sinks, "BLOCK", 3)
+    rng = random.Random(7)
+    texts = [(i, "".join(rng.choice("ab é🙂") for _ in range(rng.choice([0, 1, 7, 45, 130])))) for i in range(150)]
+    docs = chars.corpus(spark.createDataFrame(texts, SCHEMA), name=F.when(F.col("doc_id") % 3 == 0, "x").otherwise("y"))
+    c = Corpus(docs, Setup(ks=(1, 2)))
+    got = sinks.text_lines(c.placed_texts(), c.bounds.selectExpr("corpus", "n_tr AS high"), 10)
+    assert "located" not in c.__dict__ and "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
+    bounds = {b.corpus: b.n_tr for b in c.bounds.collect()}
+    want = []
+    for name, n_tr in bounds.items():
+        text = "".join(t + "\n" for i, t in texts if (i % 3 == 0) == (name == "x"))[:n_tr]
+        want += [(name, i // 10, " ".join(f"{ord(ch):04x}" for ch in text[i : i + 10])) for i in range(0, n_tr, 10)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
